@@ -41,14 +41,17 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, text: bool = True) -> DataFrame:
-    """Columns _id (doc_id as long, null: NULL_ID), _h (hash of the text) and _t (text, null: empty).
+    """Columns _id (doc_id as long, null: NULL_ID), _h (32-bit hash of the text) and _t (text, null: empty).
 
     Only these columns go on, so further columns of any name can't clash. Rows with equal doc_id and
     text are one document to every operator: each of them gets the same result.
     """
     t = F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_t")
-    key = [F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(docs["text"].cast("string")).alias("_h")]
-    return docs.select(*key, t) if text else docs.select(*key)
+    return docs.select(*row_key(docs), t) if text else docs.select(*row_key(docs))
+
+
+def row_key(docs: DataFrame) -> tuple[Column, Column]:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("_id"), F.hash(docs["text"].cast("string")).alias("_h")
 
 
 def doc_id(column: str = "_id") -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import rlz, simhash
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,8 +16,32 @@ def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": _over("documents", simhash.query),
+        "op9_rlz": _over("documents", rlz.query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_rlz": OP9}
+
+
+OP9 = r"""
+WITH w AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), x -> x) AS words FROM documents),
+p AS (
+  SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+k AS (
+  SELECT doc_id, i, words[i] AS word,
+    CASE WHEN i + 19 <= len(words) THEN md5(array_to_string(words[i:i + 19], ' ')) END AS phrase FROM p),
+d AS (
+  SELECT doc_id, i, word,
+    CASE WHEN phrase IS NOT NULL AND row_number() OVER (PARTITION BY phrase ORDER BY doc_id, i) > 1 THEN i END AS dup FROM k),
+r AS (
+  SELECT doc_id, i, word,
+    max(dup) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM d),
+s AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
+    coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM r GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN s ON w.doc_id = s.doc_id
+"""

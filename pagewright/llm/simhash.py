@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, complete_groups, connected_components, doc_id, keyed, written
+from ._shared import bounded_batches, complete_groups, connected_components, doc_id, keyed, row_key, written
 
 #: A bucket of more fingerprints than this goes on to finer tables.
 BUCKET = 8192
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["_id"], b["_h"], pa.array(fps.view(np.int64))], names=["_id", "_h", "fp"])
 
     bounded_batches(docs.sparkSession)
-    return keyed(docs).mapInArrow(run, "_id long, _h long, fp long")
+    return keyed(docs).mapInArrow(run, "_id long, _h int, fp long")
 
 
 def cover(radius: int, turn: int = 0) -> list[int]:
@@ -180,12 +180,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     out = near_components(docs)
     kept = out.where("_id = component_id").select("_id", "_h").distinct()
-    tagged = docs.withColumns({"_pw_id": keyed_id(docs), "_pw_h": F.xxhash64(docs["text"].cast("string"))})
-    joined = tagged.join(kept, (F.col("_pw_id") == kept["_id"]) & (F.col("_pw_h") == kept["_h"]), "left_semi")
-    return joined.dropDuplicates(["_pw_id"]).select(*docs.columns)
-
-
-def keyed_id(docs: DataFrame):
-    from ._shared import NULL_ID
-
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID))
+    tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *row_key(docs))
+    joined = tagged.join(kept, ["_id", "_h"], "left_semi")
+    one = joined.groupBy("_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return one.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
