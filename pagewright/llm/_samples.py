@@ -18,6 +18,8 @@ from ._shared import bounded_batches, complete_groups, mix
 #: Samples that a task holds before it combines them and sends them on.
 FLUSH = 2_000_000
 SLICE = 100_000
+#: A sample at more places than this is hot.
+HOT = 64
 
 
 def ngram_hashes(h: np.ndarray, n: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
@@ -67,12 +69,13 @@ class Held:
         return out
 
 
-def repeated_places(docs: DataFrame, sample: Callable[[bytes], tuple[np.ndarray, np.ndarray]], flush: int = FLUSH) -> DataFrame:
-    """_id, _h and at: the places whose sampled hash occurs at two places or more.
+def repeated_places(docs: DataFrame, sample: Callable[[bytes], tuple[np.ndarray, np.ndarray]], hot: int = HOT, flush: int = FLUSH) -> DataFrame:
+    """_id, _h and at: places whose sampled hash occurs at two places or more, as 2 * place + is_hot.
 
-    docs comes from keyed(); sample gives hashes and places of a text's bytes. A task first combines its
-    own samples: a hash that it holds twice goes out once, marked, and the places are known at once. So
-    the shuffle by hash gets a row for each hash and task at most, and no hash is hot there.
+    docs comes from keyed(); sample gives hashes and places of a text's bytes. A hash with over `hot`
+    places is hot. A task combines its own samples first: of a hash that it holds more often than that,
+    one row with the count goes to the shuffle by hash, and the places, known to be hot, are dealt out by
+    themselves. So no hash sends more than `hot` rows from a task, however many documents share it.
     """
 
     def combined(held: Held) -> Iterator[pa.RecordBatch]:
@@ -81,13 +84,13 @@ def repeated_places(docs: DataFrame, sample: Callable[[bytes], tuple[np.ndarray,
         no, h, at = no[order], h[order], at[order]
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         size = np.diff(np.r_[start, len(h)])
-        many = np.repeat(size > 1, size)
+        many = np.repeat(size > hot, size)
         k = np.where(many, mix(ids[no].view(np.uint64) ^ at.astype(np.uint64)), h)
-        twice = h[start[size > 1]]
-        zero = np.zeros(len(twice), np.int64)
+        count = size[size > hot]
+        zero = np.zeros(len(count), np.int64)
         yield from sliced({
-            "k": pa.array(np.r_[k, twice].view(np.int64)), "n": pa.array(np.r_[np.where(many, 0, 1), zero + 2].astype(np.int32)),
-            "_id": pa.array(np.r_[ids[no], zero]), "_h": pa.array(np.r_[hashes[no], zero].astype(np.int32)), "at": pa.array(np.r_[at, zero].astype(np.int32)),
+            "k": pa.array(np.r_[k, h[start[size > hot]]].view(np.int64)), "n": pa.array(np.r_[np.where(many, 0, 1), count].astype(np.int32)),
+            "_id": pa.array(np.r_[ids[no], zero]), "_h": pa.array(np.r_[hashes[no], zero].astype(np.int32)), "at": pa.array(np.r_[at, zero - 1].astype(np.int32)),
         })
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,10 +107,12 @@ def repeated_places(docs: DataFrame, sample: Callable[[bytes], tuple[np.ndarray,
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in complete_groups(batches, "k", 2**62, 100_000):
-            k, n = t["k"].to_numpy(), t["n"].to_numpy()
+            k, n, at = (t[c].to_numpy() for c in ("k", "n", "at"))
             start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            total = np.repeat(np.add.reduceat(n, start), np.diff(np.r_[start, len(k)]))
-            out = t.select(["_id", "_h", "at"]).filter(pa.array((n == 0) | ((n == 1) & (total > 1))))
+            total = np.repeat(np.add.reduceat(n, start, dtype=np.int64), np.diff(np.r_[start, len(k)]))
+            keep = (at >= 0) & ((n == 0) | (total > 1))
+            at = 2 * at[keep] + ((n == 0) | (total > hot))[keep]
+            out = t.select(["_id", "_h"]).filter(pa.array(keep)).append_column("at", pa.array(at.astype(np.int32)))
             yield from out.combine_chunks().to_batches()
 
     bounded_batches(docs.sparkSession)
@@ -115,6 +120,21 @@ def repeated_places(docs: DataFrame, sample: Callable[[bytes], tuple[np.ndarray,
     return rows.repartition("k").sortWithinPartitions("k").mapInArrow(second, "_id long, _h int, at int")
 
 
+def owners_of(owners: np.ndarray, n: int, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows whose owner is a hot place, and those whose owner is another repeated place."""
+    flag = np.zeros(n + 1, np.int8)
+    places = np.array(at, np.int64)
+    flag[places >> 1] = 1 + (places & 1)
+    kind = flag[owners]
+    return np.flatnonzero(kind == 2), np.flatnonzero(kind == 1)
+
+
+def stretches(owners: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds in s of the stretches of windows with one owner."""
+    cut = np.flatnonzero(np.diff(owners[s])) + 1
+    return np.r_[0, cut][: len(s)], np.r_[cut, len(s)][: max(len(s), 0) and len(cut) + 1]
+
+
 def with_places(docs: DataFrame, places: DataFrame, how: str, column: str = "at") -> DataFrame:
     """docs, dealt out by document, with the list of each document's values of column."""
     lists = places.groupBy("_id", "_h").agg(F.collect_list(column).alias(column))

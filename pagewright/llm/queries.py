@@ -26,7 +26,7 @@ def oracle_sql() -> dict[str, str]:
 
 OP9 = r"""
 WITH w AS (
-  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), x -> x) AS words FROM documents),
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 p AS (
   SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w),
 k AS (

@@ -9,7 +9,8 @@ well, so a repeat that starts inside a factor and runs past its end is found. Ea
 words or more and becomes a duplicate span.
 
 Phrases are looked up only where a sample says they may occur twice (see _samples): two equal phrases
-always share the sampled 6-gram that they own.
+always share the sampled 6-gram that owns them. The phrases of a sample at few places travel as one row by
+the sample's hash; those of a hot sample each by their own hash, after the task has parsed its own copies.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._samples import FLUSH, Held, ngram_hashes, repeated_places, runs, sliced, with_places
+from ._samples import FLUSH, HOT, Held, ngram_hashes, owners_of, repeated_places, sliced, stretches, with_places
 from ._shared import bounded_batches, complete_groups, doc_id, keyed, mix, row_key, window_owners
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -35,7 +36,7 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, text.split()), np.uint64)
 
 
-def factors(docs: DataFrame, window: int = 20, gram: int = 6, flush: int = FLUSH) -> DataFrame:
+def factors(docs: DataFrame, window: int = 20, gram: int = 6, hot: int = HOT, flush: int = FLUSH) -> DataFrame:
     """_id, _h, s, e, src, src_s: the words s to e (exclusive) of a document repeat those at src_s of src.
 
     docs comes from keyed(). Factors of a document may overlap; all have window words or more, and their
@@ -76,48 +77,74 @@ def factors(docs: DataFrame, window: int = 20, gram: int = 6, flush: int = FLUSH
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = Held(4), set()
         for b in batches:
+            rows: list[tuple[int, int, int, int, bytes]] = []
             for doc, text_hash, text, at in zip(b["_id"].to_pylist(), b["_h"].to_pylist(), b["_t"].cast(pa.binary()).to_pylist(), b["at"].to_pylist(), strict=True):
                 if (doc, text_hash) in seen:
                     continue
                 seen.add((doc, text_hash))
                 h = word_hashes(text)
-                owned = np.zeros(len(h), bool)
-                owned[at] = True
-                s = np.flatnonzero(owned[window_owners(ngram_hashes(h, gram), span)])
+                g, w = ngram_hashes(h, gram), ngram_hashes(h, window)
+                owners = window_owners(g, span)
+                s, few = owners_of(owners, len(h), at)
                 if len(s):
                     v = (ngram_hashes(h, window, 0xD6E8FEB86659FD93)[s] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    held.add(doc, text_hash, ngram_hashes(h, window)[s], v, s)
+                    held.add(doc, text_hash, w[s], v, s)
+                if len(few):
+                    a, z = stretches(owners, few)
+                    data, k = w[few].tobytes(), g[owners[few[a]]].view(np.int64).tolist()
+                    rows += [(key, doc, text_hash, s0, data[8 * i : 8 * j]) for key, s0, i, j in zip(k, few[a].tolist(), a.tolist(), z.tolist(), strict=True)]
                 if held.size >= flush:
                     yield from looked_up(held)
+            if rows:
+                k, ids, hashes, s, data = zip(*rows, strict=True)
+                zero = np.zeros(len(k), np.int64)
+                yield from sliced(_rows(np.array(k, np.int64), zero.astype(np.int32), np.array(ids, np.int64), np.array(hashes, np.int64), np.array(s, np.int64), ws=data))
         if held.size:
             yield from looked_up(held)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A phrase of a block that isn't its first gets the first as source; factors pass through."""
-        for t, _ in complete_groups(batches, "k", 2**62, 100_000):
-            k, v, s, e = (t[c].to_numpy() for c in ("k", "v", "s", "e"))
-            i, h = t["_id"].to_numpy(), t["_h"].to_numpy()
-            phrase = e == 0
-            out = t.select(["_id", "_h", "s", "e", "src", "src_s"])
-            yield from out.filter(pa.array(~phrase)).combine_chunks().to_batches()
-            k, v, s, i, h = (x[phrase] for x in (k, v, s, i, h))
-            start = np.r_[True, (k[1:] != k[:-1]) | (v[1:] != v[:-1])][: len(k)]
-            first = np.maximum.accumulate(np.where(start, np.arange(len(k)), 0))
-            later = np.flatnonzero(~start & ((i != i[first]) | (h != h[first]) | (s != s[first])))
-            f = first[later]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i[later], h[later], s[later], (s[later] + window).astype(np.int32), i[f], s[f])], names=["_id", "_h", "s", "e", "src", "src_s"])
+        names = ["_id", "_h", "s", "e", "src", "src_s"]
+        for t, _ in complete_groups(batches, "k", 2**62, 20_000):
+            k, v, s, e, i, h = (t[c].to_numpy() for c in ("k", "v", "s", "e", "_id", "_h"))
+            lists = t["ws"].is_valid().to_numpy()
+            yield from t.select(names).filter(pa.array(e > 0)).combine_chunks().to_batches()
+            one = (e == 0) & ~lists
+            data = t["ws"].filter(pa.array(lists)).to_pylist()
+            size = np.fromiter(map(len, data), np.int64, len(data)) // 8
+            row = np.repeat(np.arange(len(size)), size)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            w = np.frombuffer(b"".join(data), np.uint64)
+            # a phrase in a list is known by its hash and by the sample's
+            w = mix(w ^ mix(k[lists].view(np.uint64))[row])
+            for key, check, i_, h_, s_ in ((k[one].view(np.uint64), v[one], i[one], h[one], s[one]), (w, np.zeros(len(w), np.int32), i[lists][row], h[lists][row], s[lists][row] + step)):
+                order = np.argsort(key, kind="stable")  # rows come by document, so the first of equals is the earliest
+                key, check = key[order], check[order]
+                start = np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])][: len(key)]
+                first = np.empty(len(key), np.int64)
+                first[order] = order[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))]
+                later = np.flatnonzero((i_ != i_[first]) | (h_ != h_[first]) | (s_ != s_[first]))
+                if not len(later):
+                    continue
+                f = first[later]
+                same = lambda x: x[1:] == x[:-1]
+                cut = np.flatnonzero(~(same(i_[later]) & same(h_[later]) & (np.diff(s_[later]) == 1) & same(i_[f]) & same(h_[f]) & (np.diff(s_[f]) == 1)))
+                a, z = np.r_[0, cut + 1], np.r_[cut, len(later) - 1]
+                at, f = later[a], f[a]
+                out = i_[at], h_[at].astype(np.int32), s_[at].astype(np.int32), (s_[later[z]] + window).astype(np.int32), i_[f], s_[f].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
 
     bounded_batches(docs.sparkSession)
-    schema = "k long, v int, _id long, _h int, s int, e int, src long, src_s int"
-    found = with_places(docs, repeated_places(docs, sample, flush), "inner").mapInArrow(phrases, schema)
+    schema = "k long, v int, _id long, _h int, s int, e int, src long, src_s int, ws binary"
+    found = with_places(docs, repeated_places(docs, sample, hot, flush), "inner").mapInArrow(phrases, schema)
     found = found.repartition("k").sortWithinPartitions("k", "v", "_id", "_h", "s")
     return found.mapInArrow(blocks, "_id long, _h int, s int, e int, src long, src_s int")
 
 
-def _rows(k, v, ids, hashes, s, e=None, src=None, src_s=None) -> dict[str, pa.Array]:
+def _rows(k, v, ids, hashes, s, e=None, src=None, src_s=None, ws=None) -> dict[str, pa.Array]:
     zero = np.zeros(len(k), np.int64)
     as_int = lambda x: pa.array((zero if x is None else x).astype(np.int32))
-    return {"k": pa.array(k.view(np.int64)), "v": pa.array(v), "_id": pa.array(ids), "_h": pa.array(hashes), "s": as_int(s), "e": as_int(e), "src": pa.array(zero if src is None else src), "src_s": as_int(src_s)}
+    return {"k": pa.array(k.view(np.int64)), "v": pa.array(v), "_id": pa.array(ids), "_h": as_int(hashes), "s": as_int(s), "e": as_int(e), "src": pa.array(zero if src is None else src), "src_s": as_int(src_s), "ws": pa.nulls(len(k), pa.binary()) if ws is None else pa.array(ws, pa.binary())}
 
 
 def removed(n: int, spans: list[int] | None) -> np.ndarray:

@@ -39,11 +39,11 @@ def texts(seed, n=60, vocabulary=60):
     return docs + [(n, "a " * 70), (n + 1, "a " * 30), (n + 2, None), (n + 3, ""), (n + 4, docs[0][1]), (n + 4, docs[0][1]), (None, docs[1][1]), (n + 5, " ")]
 
 
-@pytest.mark.parametrize(("window", "gram", "flush"), [(20, 6, 2_000_000), (5, 2, 50), (20, 6, 40), (3, 3, 10)])
-def test_equals_brute_force(spark, window, gram, flush):
+@pytest.mark.parametrize(("window", "gram", "flush", "hot"), [(20, 6, 2_000_000, 64), (5, 2, 50, 3), (20, 6, 40, 1), (3, 3, 10, 5), (8, 4, 9999, 2)])
+def test_equals_brute_force(spark, window, gram, flush, hot):
     rows = texts(window + flush)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = rlz.query(docs, window, gram=gram, flush=flush).collect()
+    got = rlz.query(docs, window, gram=gram, flush=flush, hot=hot).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, window)
 
 
