@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rlz, simhash
+from . import rlz, simhash, suffix
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,12 +16,13 @@ def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": _over("documents", simhash.query),
+        "op6_suffix": _over("documents", suffix.query),
         "op9_rlz": _over("documents", rlz.query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_rlz": OP9}
+    return {"op6_suffix": OP6, "op9_rlz": OP9}
 
 
 OP9 = r"""
@@ -45,3 +46,23 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN s ON w.doc_id = s.doc_id
 """
+
+OP6 = """
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS i FROM t WHERE octet_length(b) >= 200),
+k AS (SELECT doc_id, i, md5(array_slice(b, i, i + 199)) AS string FROM p),
+d AS (SELECT doc_id, i FROM k QUALIFY count(*) OVER (PARTITION BY string) > 1),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 200 THEN 0 ELSE 1 END AS fresh FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 199 AS z FROM r GROUP BY doc_id, run),
+u AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM s
+  UNION ALL SELECT t.doc_id, coalesce(max(s.z), 0) + 1, any_value(octet_length(b)) FROM t LEFT JOIN s ON t.doc_id = s.doc_id GROUP BY t.doc_id),
+kept AS (
+  SELECT u.doc_id, string_agg(CASE WHEN u.a <= u.z THEN hex(array_slice(b, u.a, u.z)) ELSE '' END, '' ORDER BY u.a) AS hexed
+  FROM u JOIN t ON t.doc_id = u.doc_id GROUP BY u.doc_id),
+n AS (SELECT doc_id, count(*) AS n_spans, sum(z - a + 1) AS n_removed FROM s GROUP BY doc_id)
+SELECT t.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(hexed)) AS kept_sha256
+FROM t JOIN kept ON t.doc_id = kept.doc_id LEFT JOIN n ON t.doc_id = n.doc_id
+"""
