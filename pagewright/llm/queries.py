@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rlz, simhash, suffix
+from . import ogg, packing, rlz, simhash, suffix
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,7 +16,9 @@ def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": _over("documents", simhash.query),
+        "op3_ogg": _over("documents", ogg.query),
         "op6_suffix": _over("documents", suffix.query),
+        "op7_packing": _over("documents", packing.query),
         "op9_rlz": _over("documents", rlz.query),
     }
 
