@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def process_wide(key: object, make: Callable[[], object]):
+    """What make() gives, made once in a Python worker and kept for its later tasks."""
+    import builtins
+
+    kept = builtins.__dict__.setdefault("_pagewright_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def keyed(docs: DataFrame, text: bool = True) -> DataFrame:
     """Columns _id (doc_id as long, null: NULL_ID), _h (32-bit hash of the text) and _t (text, null: empty).
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, doc_id, keyed, written
+from ._shared import bounded_batches, doc_id, keyed, process_wide, written
 
 #: Tokens packed in one group.
 GROUP = 8_000_000
-#: Chunks of text whose ids a task remembers.
-REMEMBERED = 400_000
+#: Chunks of text whose ids a Python worker remembers, about 200 bytes each.
+REMEMBERED = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -34,8 +35,9 @@ def default_tokenizer() -> str:
 class ChunkTokenizer:
     """Ids of texts, chunk by chunk.
 
-    This tokenizer splits at white space before anything else, and no rule looks across it, so a text's
-    ids are those of its chunks between ASCII white space; a chunk's ids are remembered.
+    This tokenizer lower-cases, splits at white space before anything else, and no rule looks across it,
+    so a text's ids are those of its chunks between ASCII white space; a chunk's ids are remembered. A
+    chunk that is new but ends in one full stop or comma after a letter is its stem and that mark.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
@@ -45,17 +47,39 @@ class ChunkTokenizer:
         self.known: dict[bytes, bytes] = {}
         self.remembered = remembered
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+    def _learn(self, chunks: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
+        self.known.update(zip(chunks, (array("I", e.ids).tobytes() for e in found), strict=True))
+
+    def encode(self, texts: list[bytes], together: int = 64) -> Iterator[bytes]:
         """Each text's ids as little-endian 32-bit values."""
-        for text in texts:
-            chunks = text.split()
-            if new := list({c for c in chunks if c not in self.known}):
-                if len(self.known) + len(new) > self.remembered:
-                    self.known.clear()
-                    new = list(set(chunks))
-                found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
-                self.known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
-            yield b"".join(map(self.known.__getitem__, chunks))
+        for i in range(0, len(texts), together):
+            split = [t.split() for t in texts[i : i + together]]
+            every = set().union(*split)
+            new = every - self.known.keys()
+            if len(self.known) + 2 * len(new) > self.remembered:
+                self.known.clear()
+                new = every
+            stems = {c: stem(c) for c in new}
+            self._learn(list({s for s in stems.values() if s not in self.known} | {b".", b","} - self.known.keys()))
+            for c, s in stems.items():
+                if c != s:
+                    self.known[c] = self.known[s] + (self.known[c[-1:]] if c[-1] in b".," and s[-1] not in b".," else b"")
+            for chunks in split:
+                yield b"".join(map(self.known.__getitem__, chunks))
+
+
+def stem(chunk: bytes) -> bytes:
+    """chunk in lower case without one final full stop or comma, where the ids are sure to be the same.
+
+    Upper case is left alone beside combining marks, with which it may compose otherwise than lower case.
+    """
+    if chunk.isascii() or not any(lead in chunk for lead in (b"\xca", b"\xcc", b"\xcd")):
+        chunk = chunk.lower()
+    before = chunk[-2:-1]
+    if chunk[-1] in b".," and (before.isalnum() or chunk[-3:-2] == b"\xc3" and before not in (b"\x97", b"\xb7")):
+        return chunk[:-1]
+    return chunk
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1) -> DataFrame:
@@ -65,7 +89,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, last, size = ChunkTokenizer(tokenizer), np.array([end], "<u4").tobytes(), 4 * capacity
+        encoder, last, size = process_wide(("tokenizer", tokenizer), lambda: ChunkTokenizer(tokenizer)), np.array([end], "<u4").tobytes(), 4 * capacity
         for b in batches:
             rows = []
             for doc, ids in zip(b["_id"].to_pylist(), encoder.encode(b["_t"].cast(pa.binary()).to_pylist()), strict=True):
