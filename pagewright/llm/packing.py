@@ -9,6 +9,7 @@ the corpus, and a group wastes part of its last sequences only.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,6 +26,12 @@ GROUP = 8_000_000
 #: Chunks of text whose ids a Python worker remembers, about 200 bytes each.
 REMEMBERED = 1_000_000
 
+#: Lower-case words of ASCII and Latin-1 letters in UTF-8 (fixed by Unicode; all are their own NFC).
+WORD = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf\x9f])+")
+#: Byte-level alphabet: bytes that don't print stand as 256 and on, in order.
+_PRINTS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTS)))}
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -48,6 +55,14 @@ class ChunkTokenizer:
         self.remembered = remembered
 
     def _learn(self, chunks: list[bytes]) -> None:
+        model, ids = self.tokenizer.model, self.known
+        odd = []
+        for c in chunks:
+            if WORD.fullmatch(c):  # one lower-case word: only the model has something to do
+                ids[c] = array("I", [t.id for t in model.tokenize(c.decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+            else:
+                odd.append(c)
+        chunks = odd
         found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
         self.known.update(zip(chunks, (array("I", e.ids).tobytes() for e in found), strict=True))
 
@@ -56,12 +71,12 @@ class ChunkTokenizer:
         for i in range(0, len(texts), together):
             split = [t.split() for t in texts[i : i + together]]
             every = set().union(*split)
-            new = every - self.known.keys()
+            new = {c for c in every if c not in self.known}
             if len(self.known) + 2 * len(new) > self.remembered:
                 self.known.clear()
                 new = every
             stems = {c: stem(c) for c in new}
-            self._learn(list({s for s in stems.values() if s not in self.known} | {b".", b","} - self.known.keys()))
+            self._learn([s for s in {*stems.values(), b".", b","} if s not in self.known])
             for c, s in stems.items():
                 if c != s:
                     self.known[c] = self.known[s] + (self.known[c[-1:]] if c[-1] in b".," and s[-1] not in b".," else b"")
