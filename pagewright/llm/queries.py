@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ogg, packing, rlz, simhash, suffix
+from . import minhash, ogg, packing, rlz, simhash, suffix
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ogg": _over("documents", ogg.query),
         "op6_suffix": _over("documents", suffix.query),
         "op7_packing": _over("documents", packing.query),
+        "op8_minhash": _over("documents", minhash.query),
         "op9_rlz": _over("documents", rlz.query),
     }
 
