@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, ogg, packing, rlz, simhash, suffix
+from . import langid, minhash, mixing, ogg, packing, rlz, simhash, suffix, urls, weaklabel
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,16 +16,21 @@ def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": _over("documents", simhash.query),
+        "op2_mixing": _over("documents", mixing.query),
         "op3_ogg": _over("documents", ogg.query),
+        "op4_urls": _over("pages", urls.query),
+        "op5_langid": _over("documents", langid.query),
         "op6_suffix": _over("documents", suffix.query),
         "op7_packing": _over("documents", packing.query),
         "op8_minhash": _over("documents", minhash.query),
         "op9_rlz": _over("documents", rlz.query),
+        "op10_weaklabel": _over("documents", weaklabel.query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_suffix": OP6, "op9_rlz": OP9}
+    """SQL where whole tables are quick in it; the others are tested against brute force in tests/llm."""
+    return {"op2_mixing": OP2, "op4_urls": OP4, "op6_suffix": OP6, "op9_rlz": OP9}
 
 
 OP9 = r"""
@@ -69,3 +74,61 @@ SELECT t.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_rem
   CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(hexed)) AS kept_sha256
 FROM t JOIN kept ON t.doc_id = kept.doc_id LEFT JOIN n ON t.doc_id = n.doc_id
 """
+
+# No page of these tables has a canonical link or a refresh, so the components are single nodes here.
+OP4 = r"""
+WITH u AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^(.*?)://([^/?#]*)([^?#]*)', 2), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^(.*?)://([^/?#]*)([^?#]*)', 3), '') AS path,
+    regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1), '/(\?|$)', '\1') AS rest, contains(url, '://') AS whole FROM pages),
+rules(action, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+m AS (
+  SELECT u.*, CASE WHEN whole THEN host || rest END AS node,
+    (SELECT max_by(rhost || rpath, length(rhost || rpath)) FROM rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS rule,
+    (SELECT max_by(action, length(rhost || rpath)) FROM rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS action
+  FROM u)
+SELECT page_id, host, path, rule,
+  coalesce(action, CASE WHEN bool_or(action = 'block') OVER (PARTITION BY node) AND NOT bool_or(action = 'allow') OVER (PARTITION BY node) AND node IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM m
+"""
+
+_FILL = """CASE WHEN {cap} <= {lev} * {w} THEN {cap}
+    ELSE CAST(floor(max(CASE WHEN {cap} > {lev} * {w} THEN {lev} END) OVER (PARTITION BY {parent}) * {w}) AS BIGINT) END"""
+_LEVEL = """CAST({budget} - coalesce(CAST(sum({cap}) OVER (PARTITION BY {parent} ORDER BY {cap} / {w}, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS DOUBLE)
+    / CAST(sum({w}) OVER (PARTITION BY {parent} ORDER BY {cap} / {w}, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE)"""
+
+
+def _level(name: str, parent: str, budget: str) -> str:
+    cap, w = f"cap_{name}", f"w_{name}"
+    return _LEVEL.format(cap=cap, w=w, parent=parent, name=name, budget=budget)
+
+
+def _fill(name: str, parent: str) -> str:
+    return _FILL.format(cap=f"cap_{name}", w=f"w_{name}", lev="lev", parent=parent)
+
+
+OP2 = rf"""
+WITH n AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_tokens,
+    TRY_CAST(regexp_extract(coalesce(source, ''), '^src([0-9]{{1,9}})$', 1) AS INT) AS k FROM documents),
+d AS (SELECT doc_id, lang, source, n_tokens, CASE WHEN k = 0 THEN 'web' WHEN k <= 6 THEN 'forum' ELSE 'books' END AS domain FROM n),
+leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * 2 AS BIGINT) AS cap_source, 1 AS w_source,
+    CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS w_lang,
+    CASE domain WHEN 'web' THEN 2 WHEN 'forum' THEN 5 ELSE 3 END AS w_domain FROM d GROUP BY ALL),
+b AS (SELECT CAST(floor(sum(tokens) * 0.8) AS BIGINT) AS budget FROM leaf),
+l0 AS (SELECT domain, lang, w_domain, w_lang, CAST(sum(cap_source) AS BIGINT) AS cap_lang FROM leaf GROUP BY ALL),
+d0 AS (SELECT domain, w_domain, CAST(sum(cap_lang) AS BIGINT) AS cap_domain FROM l0 GROUP BY ALL),
+d1 AS (SELECT *, {_level("domain", "1", "budget")} AS lev FROM d0, b),
+d2 AS (SELECT domain, {_fill("domain", "1")} AS for_domain FROM d1),
+l1 AS (SELECT *, {_level("lang", "domain", "for_domain")} AS lev FROM l0 JOIN d2 USING (domain)),
+l2 AS (SELECT domain, lang, {_fill("lang", "domain")} AS for_lang FROM l1),
+s1 AS (SELECT *, {_level("source", "domain, lang", "for_lang")} AS lev FROM leaf JOIN l2 USING (domain, lang)),
+s2 AS (SELECT domain, lang, source, tokens, {_fill("source", "domain, lang")} AS allot FROM s1),
+p AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN allot // tokens ELSE 0 END AS whole, allot - CASE WHEN tokens > 0 THEN allot // tokens ELSE 0 END * tokens AS rest FROM s2),
+j AS (SELECT d.*, whole, rest, substr(md5(concat_ws(':', '11', CAST(whole AS VARCHAR), CAST(doc_id AS VARCHAR))), 1, 15) AS o FROM d JOIN p USING (domain, lang, source)),
+c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY o, doc_id NULLS FIRST, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM j)
+SELECT doc_id, domain, lang, source, CAST(whole AS INT) AS epoch, n_tokens FROM c WHERE rest > 0 AND whole < 2 AND upto <= rest
+UNION ALL
+SELECT doc_id, domain, lang, source, CAST(e AS INT) AS epoch, n_tokens FROM (SELECT *, unnest(range(0, whole)) AS e FROM j)
+"""
