@@ -116,7 +116,7 @@ d AS (SELECT doc_id, lang, source, n_tokens, CASE WHEN k = 0 THEN 'web' WHEN k <
 leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * 2 AS BIGINT) AS cap_source, 1 AS w_source,
     CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS w_lang,
     CASE domain WHEN 'web' THEN 2 WHEN 'forum' THEN 5 ELSE 3 END AS w_domain FROM d GROUP BY ALL),
-b AS (SELECT CAST(floor(sum(tokens) * 0.8) AS BIGINT) AS budget FROM leaf),
+b AS (SELECT CAST(floor(sum(tokens) * CAST(0.8 AS DOUBLE)) AS BIGINT) AS budget FROM leaf),
 l0 AS (SELECT domain, lang, w_domain, w_lang, CAST(sum(cap_source) AS BIGINT) AS cap_lang FROM leaf GROUP BY ALL),
 d0 AS (SELECT domain, w_domain, CAST(sum(cap_lang) AS BIGINT) AS cap_domain FROM l0 GROUP BY ALL),
 d1 AS (SELECT *, {_level("domain", "1", "budget")} AS lev FROM d0, b),

@@ -173,12 +173,13 @@ def query(docs: DataFrame) -> DataFrame:
     return out.select(doc_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), doc_id("component_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """docs without all but one row of each component: the row with the smallest doc_id stays.
 
-    Of repeated rows of that document one stays, chosen by the hash of all its columns.
+    Prints are of runs of width words. Of repeated rows of that document one stays, chosen by the hash of
+    all its columns.
     """
-    out = near_components(docs)
+    out = near_components(docs, width)
     kept = out.where("_id = component_id").select("_id", "_h").distinct()
     tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *row_key(docs))
     joined = tagged.join(kept, ["_id", "_h"], "left_semi")
