@@ -40,14 +40,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def process_wide(key: object, make: Callable[[], object]):
-    """What make() gives, made once in a Python worker and kept for its later tasks."""
+def process_wide(kind: str, key: str, make: Callable[[], object]):
+    """What make() gives, made once in a Python worker for its later tasks; one of each kind is kept."""
     import builtins
 
     kept = builtins.__dict__.setdefault("_pagewright_kept", {})
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kept.get(kind, ("",))[0] != key:
+        kept.pop(kind, None)
+        kept[kind] = (key, make())
+    return kept[kind][1]
 
 
 def keyed(docs: DataFrame, text: bool = True) -> DataFrame:

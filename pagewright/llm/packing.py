@@ -104,7 +104,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, last, size = process_wide(("tokenizer", tokenizer), lambda: ChunkTokenizer(tokenizer)), np.array([end], "<u4").tobytes(), 4 * capacity
+        encoder, last, size = process_wide("tokenizer", tokenizer, lambda: ChunkTokenizer(tokenizer)), np.array([end], "<u4").tobytes(), 4 * capacity
         for b in batches:
             rows = []
             for doc, ids in zip(b["_id"].to_pylist(), encoder.encode(b["_t"].cast(pa.binary()).to_pylist()), strict=True):
