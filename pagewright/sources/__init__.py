@@ -1 +1,106 @@
+"""Readers by extension, and corpora read with them in parallel."""
 
+from __future__ import annotations
+
+import posixpath
+from collections.abc import Callable, Iterator
+from dataclasses import asdict
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from ..config import STYLES
+from ..functions.patterns import compile_patterns
+from ..schema import BLOCK, Corpus
+from . import docx, latex, odt
+from .model import Document
+
+Reader = Callable[[bytes, object], Document]
+_readers: dict[str, Reader] = {}
+ROW = f"path string, format string, error string, toc_present boolean, toc_anchors array<string>, heading_bookmarks array<string>, blocks array<struct<{BLOCK.replace(' ', ':').replace(',:', ',')}>>"
+
+
+def register(extensions: tuple[str, ...], reader: Reader) -> None:
+    """reader(data, patterns) reads files of the extensions from now on; a later one replaces an earlier one."""
+    for e in extensions:
+        _readers[e.lower()] = reader
+
+
+def extractor_for(path: str) -> Reader | None:
+    return _readers.get(posixpath.splitext(path)[1].lower())
+
+
+def supported_extensions() -> list[str]:
+    return sorted(_readers)
+
+
+register((".docx",), docx.extract)
+register((".odt",), odt.extract)
+register((".tex",), lambda data, patterns: latex.extract(data.decode("utf-8", "replace"), patterns))
+
+
+def _row(path: str, read: Callable[[], Document]) -> dict:
+    form = posixpath.splitext(path)[1].lower().lstrip(".")
+    try:
+        d = read()
+    except Exception as e:  # a broken file is a row of its own and must not end the job
+        return {"path": path, "format": form, "error": f"{type(e).__name__}: {e}"}
+    return {"path": path, "format": form, "error": None} | asdict(d)
+
+
+def extracted(files: DataFrame, styles: dict | None = None) -> DataFrame:
+    """One row (ROW) for each of files (columns path, content); unsupported and broken ones have an error.
+
+    LaTeX files with a document class are documents; they may include any other file of `files` in their
+    own folder or below it, so LaTeX files are grouped by top folder below `files`' common use: the
+    folder of the path. All other formats are read where they lie.
+    """
+    patterns, readers = compile_patterns(styles or STYLES), dict(_readers)
+    schema = to_arrow_schema(StructType.fromDDL(ROW))
+
+    def reader(path: str) -> Reader | None:
+        return readers.get(posixpath.splitext(path)[1].lower())
+
+    def one(path: str, data: bytes) -> dict:
+        f = reader(path)
+        if f is None:
+            return {"path": path, "format": posixpath.splitext(path)[1].lower().lstrip("."), "error": "unsupported"}
+        return _row(path, lambda: f(data, patterns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [one(p, c) for p, c in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    def project(t: pa.Table) -> pa.Table:
+        texts = {p: c.decode("utf-8", "replace") for p, c in zip(t["path"].to_pylist(), t["content"].to_pylist(), strict=True)}
+        rows = [_row(p, lambda p=p, s=s: latex.extract(latex.expanded(s, p, texts.get), patterns)) for p, s in texts.items() if "\\documentclass" in s]
+        return pa.Table.from_pylist(rows, schema=schema)
+
+    files = files.select("path", "content", F.lower(F.col("path")).endswith(".tex").alias("tex"))
+    others = files.where("not tex").select("path", "content").mapInArrow(run, ROW)
+    # a project is the folder that holds a file with a document class; files below belong to it
+    tex = files.where("tex").withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    mains = tex.where(F.col("content").cast("string").contains("\\documentclass")).select(F.col("folder").alias("root")).distinct()
+    parts = F.split("folder", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    owned = tex.withColumn("root", F.explode(above)).join(mains, "root")
+    own_main = owned.groupBy("root").applyInArrow(lambda t: project(t), ROW)
+    # a main file in a sub-folder of another project would come once for each: its own folder counts
+    return others.unionByName(own_main.dropDuplicates(["path"]))
+
+
+def corpus_of(rows: DataFrame) -> Corpus:
+    """Corpus of extracted rows; doc_id is the 64-bit hash of the path, errors are left out."""
+    good = rows.where("error is null").withColumn("doc_id", F.xxhash64("path"))
+    docs = good.select("doc_id", "path", "format", "toc_present", "toc_anchors", "heading_bookmarks")
+    return Corpus(docs, good.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*"))
+
+
+def read_corpus(spark: SparkSession, path: str, styles: dict | None = None) -> Corpus:
+    """All supported files below path. Extraction is costly Python and is kept for the checks' two passes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return corpus_of(extracted(files, styles).persist())
