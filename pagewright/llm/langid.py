@@ -47,23 +47,31 @@ class Model:
     def __init__(self, counts: list[tuple[int, str, str, int]]) -> None:
         self.languages = sorted({lang for _, _, lang, _ in counts})
         column = {lang: i for i, lang in enumerate(self.languages)}
-        table: dict[tuple[int, str], np.ndarray] = {}
-        for kind, key, lang, n in counts:
-            table.setdefault((kind, key), np.zeros(len(column)))[column[lang]] += n
-        self.known: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        for kind in range(LONGEST + 1):
-            part = {key: n for (k, key), n in table.items() if k == kind}
-            total = sum(part.values(), np.zeros(len(column))) + 0.5 * len(part)
-            self.known[kind] = {key: np.log((n + 0.5) / total) for key, n in part.items()}
+        #: The row of each word or n-gram in the table, by kind.
+        self.known: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        for kind, key, _, _ in counts:
+            self.known[kind][key] = 0
+        n = 0
+        for part in self.known:
+            for key in part:
+                part[key] = n
+                n += 1
+        table = np.zeros((n, len(column)))
+        for kind, key, lang, times in counts:
+            table[self.known[kind][key], column[lang]] += times
+        for part in self.known:
+            at = list(part.values())
+            table[at] = np.log((table[at] + 0.5) / (table[at].sum(axis=0) + 0.5 * len(at)))
+        self.table = table.astype(np.float32)
 
     def word(self, word: str) -> np.ndarray:
         if (found := self.known[0].get(word)) is not None:
-            return found
+            return self.table[found]
         for n in range(LONGEST, 0, -1):
             parts = [v for g in grams(word, n) if (v := self.known[n].get(g)) is not None]
             if parts:
-                return np.mean(parts, axis=0)
-        return np.zeros(len(self.languages))
+                return self.table[parts].mean(axis=0)
+        return np.zeros(len(self.languages), np.float32)
 
 
 class Scorer(dict):
