@@ -26,6 +26,8 @@ ROWS_PER_LANGUAGE = 1500
 #: The most frequent words and n-grams that a model keeps, counted once a language.
 FEATURES = 200_000
 LONGEST = 5
+#: Words that a learning task counts before it passes them on.
+HELD_WORDS = 50_000
 #: The evidence of so many words at most counts in the score.
 FULL_EVIDENCE = 20
 UNKNOWN = "und"
@@ -119,17 +121,26 @@ def learn(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, features: int = FEATUR
     share = F.create_map(*(x for r in sizes for x in (F.lit(r.lang), F.lit(min(1.0, rows / r["count"])))))
     sample = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2**31)) < share[F.col("lang")] * 2**31)
 
+    def counted(words: Counter) -> pa.RecordBatch:
+        """Words with their counts, and the n-grams of each word as often."""
+        found: Counter = Counter()
+        for (word, lang), n in words.items():
+            found[0, word, lang] += n
+            for size in range(1, LONGEST + 1):
+                for g in grams(word, size):
+                    found[size, g, lang] += n
+        kind, key, lang = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.string()), pa.array(lang, pa.string()), pa.array(found.values(), pa.int64())], names=["kind", "key", "lang", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
         for b in batches:
-            found: Counter = Counter()
             for text, lang in zip(b["text"].to_pylist(), b["lang"].to_pylist(), strict=True):
-                for word, n in Counter(LETTERS.findall(text.lower())).items():
-                    found[0, word, lang] += n
-                    for size in range(1, LONGEST + 1):
-                        for g in grams(word, size):
-                            found[size, g, lang] += n
-            kind, key, lang = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.string()), pa.array(lang, pa.string()), pa.array(found.values(), pa.int64())], names=["kind", "key", "lang", "n"])
+                words.update((w, lang) for w in LETTERS.findall(text.lower()))
+                if len(words) > HELD_WORDS:
+                    yield counted(words)
+                    words.clear()
+        yield counted(words)
 
     bounded_batches(docs.sparkSession)
     counts = sample.mapInArrow(count, "kind int, key string, lang string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))

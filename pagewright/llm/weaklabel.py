@@ -152,10 +152,12 @@ def query(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, places = [], {}
             for text in b["_t"].cast(pa.binary()).to_pylist():
                 words = text.split()
-                out.append((np.array([features(x) for x in words], np.int32).tobytes(), posterior.get(votes(text), 0.5)))
+                if len(places) < 100_000:
+                    places |= {x: features(x) for x in {*words} if x not in places}
+                out.append((np.array([places.get(x) or features(x) for x in words], np.int32).tobytes(), posterior.get(votes(text), 0.5)))
             f, p = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array(p, pa.float64())], names=["f", "p"])
 
