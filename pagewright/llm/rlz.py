@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from ._samples import FLUSH, HOT, Held, ngram_hashes, owners_of, repeated_places, sliced, stretches, with_places
 from ._shared import bounded_batches, complete_groups, doc_id, keyed, mix, row_key, window_owners
@@ -192,28 +193,37 @@ def without_repeats(docs: DataFrame, window: int = 20, **options: int) -> DataFr
     """docs with the repeated words cut from text, and n_chars (if there) counted anew.
 
     White space stays before a word that stays. A row all of whose words go is dropped; a row without
-    words stays as it is. Other columns are unchanged.
+    words stays as it is. Other columns are unchanged; they travel with the text, which is dealt out once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cut: list[str | None] = []
-            for text, spans in zip(b["_t"].cast(pa.binary()).to_pylist(), b["at"].to_pylist(), strict=True):
-                at = [m.span() for m in WORDS.finditer(text)]
+            new: list[str | None] = []
+            changed, keep = [], []
+            for text, whole, spans in zip(b["_t"].cast(pa.binary()).to_pylist(), b["_there"].to_pylist(), b["at"].to_pylist(), strict=True):
+                at = [m.span() for m in WORDS.finditer(text)] if spans else []
                 gone = removed(len(at), spans)
-                if not gone.any():
-                    cut.append("\0")
-                    continue
-                ends = [0, *(e for _, e in at)]
-                kept = b"".join(text[ends[i] : ends[i + 1]] for i in np.flatnonzero(~gone).tolist())
-                cut.append(kept.strip().decode("utf-8", "replace") if len(kept) else None)
-            yield pa.RecordBatch.from_arrays([b["_id"], b["_h"], pa.array(cut, pa.string())], names=["_id", "_h", "_cut"])
-
-    rows = keyed(docs)
-    cut = _with_spans(rows, window, **options).where("at is not null").mapInArrow(run, "_id long, _h int, _cut string").dropDuplicates(["_id", "_h"])
-    tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *row_key(docs))
-    joined = tagged.join(cut.withColumn("_found", F.lit(True)), ["_id", "_h"], "left")
-    changed = F.col("_found") & (F.col("_cut").isNull() | (F.col("_cut") != "\0"))
-    joined = joined.where(~(F.coalesce("_found", F.lit(False)) & F.col("_cut").isNull()))
-    new = F.when(changed, F.col("_cut")).otherwise(F.col("_row.text"))
-    return joined.select(*(new.alias(c) if c == "text" else F.when(changed, F.length("_cut")).otherwise(F.col("_row.n_chars")).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+                if gone.any():
+                    ends = [0, *(e for _, e in at)]
+                    kept = b"".join(text[ends[i] : ends[i + 1]] for i in np.flatnonzero(~gone).tolist()).strip()
+                    new.append(kept.decode("utf-8", "replace"))
+                else:
+                    new.append(text.decode("utf-8", "replace") if whole else None)
+                changed.append(bool(gone.any()))
+                keep.append(not gone.any() or not gone.all())
+            out = pa.RecordBatch.from_arrays([b["_row"], pa.array(new, pa.string()), pa.array(changed, pa.bool_())], names=["_row", "_new", "_changed"])
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_row")
+    rows = docs.select(*row_key(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"), F.col("text").isNotNull().alias("_there"), others)
+    schema = StructType([rows.schema["_row"], StructField("_new", StringType()), StructField("_changed", BooleanType())])
+    out = _with_spans(rows, window, **options).mapInArrow(run, schema)
+
+    def column(c: str):
+        if c == "text":
+            return F.col("_new").alias(c)
+        if c == "n_chars":
+            return F.when(F.col("_changed"), F.length("_new")).otherwise(F.col("_row.n_chars")).cast(dict(docs.dtypes)[c]).alias(c)
+        return F.col(f"_row.`{c}`").alias(c)
+
+    return out.select(*map(column, docs.columns))
