@@ -125,14 +125,102 @@ def query(docs: DataFrame, permutations: int = PERMUTATIONS, width: int = WIDTH,
     return out.select(doc_id(), *out.columns[1:])
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, permutations: int = PERMUTATIONS, width: int = WIDTH, most: int = 64) -> DataFrame:
+def _tree(sig: np.ndarray, least: float, sure: float, others: int = 16) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links i, j between signatures alike by least, far fewer than all pairs.
+
+    What a chain of sure likeness joins is a cluster, each member linked once. Besides, every signature is
+    linked to its most alike member in each earlier cluster, for the `others` most alike of these clusters.
+    """
+    left, queue, a, b = np.arange(1, len(sig)), [0], [], []
+    best, by = np.zeros(len(sig)), np.zeros(len(sig), np.int64)
+    top, top_by = np.zeros((len(sig), others)), np.zeros((len(sig), others), np.int64)
+
+    def reached(members: np.ndarray) -> None:
+        at, slot = np.nonzero(top[members] >= least)
+        a.append(top_by[members[at], slot])
+        b.append(members[at])
+
+    while len(left):
+        if queue:
+            i = queue.pop()
+            like = (sig[left] == sig[i]).mean(axis=1)
+            near = like >= sure
+            found, left, like = left[near], left[~near], like[~near]
+            a.append(np.full(len(found), i))
+            b.append(found)
+            reached(found)
+            queue += found.tolist()
+            more = like > best[left]
+            best[left[more]], by[left[more]] = like[more], i
+            continue
+        slot = top[left].argmin(axis=1)
+        more = best[left] > top[left, slot]
+        top[left[more], slot[more]], top_by[left[more], slot[more]] = best[left[more]], by[left[more]]
+        best[:] = 0
+        reached(left[:1])
+        queue, left = [int(left[0])], left[1:]
+    return a, b
+
+
+def band_pairs(classes: DataFrame, threshold: float = 0.8, bands: int = 25, most: int = 64, limit: int = 8192) -> DataFrame:
+    """a, b: candidates among classes (columns c, sig) that agree in a band of their signatures.
+
+    In a bucket of up to `most` classes every two whose signatures are alike by threshold - 0.15 are
+    candidates; a larger one gives links between and along chains of likeness and not all pairs. A bucket of more
+    than `limit` classes is dealt out in blocks, each pair of blocks a group of its own.
+    """
+    least, sure = threshold - 0.15, threshold + 0.1
+    schema = "k long, a long, b long, sig binary"
+
+    def meet(batches: Iterator[pa.RecordBatch], limit: int = limit) -> Iterator[pa.RecordBatch]:
+        for t, over in complete_groups(batches, "k", limit):
+            k, c = t["k"].to_numpy(), t["c"].to_numpy()
+            if over:
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.nulls(len(c), pa.int64()), t["sig"].combine_chunks()], names=["k", "a", "b", "sig"])
+                continue
+            same = k[1:] == k[:-1]
+            met = np.r_[False, same] | np.r_[same, False]
+            k, c, t = k[met], c[met], t.filter(pa.array(met))
+            if not len(k):
+                continue
+            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(k), -1)
+            start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            size = np.diff(np.r_[start, len(k)])
+            a, b = [], []
+            for s, n in zip(start[size > most].tolist(), size[size > most].tolist(), strict=True):
+                for out, found in zip((a, b), _tree(sig[s : s + n], least, sure), strict=True):
+                    out += [c[s + x] for x in found]
+            few = np.repeat(size <= most, size)
+            k, c, sig = k[few], c[few], sig[few]
+            for d in range(1, most):
+                at = np.flatnonzero(k[d:] == k[:-d])
+                if not len(at):
+                    break
+                at = at[(sig[at] == sig[at + d]).mean(axis=1) >= least]
+                a.append(c[at])
+                b.append(c[at + d])
+            none = np.empty(0, np.int64)
+            a, b = np.concatenate(a or [none]), np.concatenate(b or [none])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], names=["k", "a", "b", "sig"])
+
+    size = F.floor(F.length("sig") / (2 * bands)).cast("int") * 2
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col("sig").substr(size * i + 1, size)) for i in range(bands)))
+    order = lambda rows: rows.repartition("k").sortWithinPartitions("k", "c")
+    out = written(order(classes.select(F.explode(keys).alias("k"), "c", "sig")).mapInArrow(meet, schema))
+    found, rows = out.where("k is null").select("a", "b"), out.where("k is not null").select("k", F.col("a").alias("c"), "sig")
+    if not rows.isEmpty():
+        n = rows.groupBy("k").agg(F.ceil(F.count("*") * 2 / limit).cast("int").alias("n"))
+        dealt = rows.join(n, "k").withColumn("p", F.pmod(F.xxhash64("c", F.lit(1)), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        dealt = dealt.select(F.xxhash64("k", F.least("p", "o"), F.greatest("p", "o")).alias("k"), "c", "sig")
+        found = found.unionByName(order(dealt).mapInArrow(lambda batches: meet(batches, 2**62), schema).select("a", "b"))
+    return found.distinct()
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, permutations: int = PERMUTATIONS, width: int = WIDTH, most: int = 64) -> DataFrame:
     """doc_id, class_id (smallest doc_id with an equal shingle set's text) and group_id of every row.
 
-    Texts with the same words are one class. Classes that agree in a band of their signatures meet in
-    Spark; in a bucket of up to `most` classes every two are candidates, in a larger one each class meets
-    the classes that a chain of likeness joins it with, so a large group gives a tree and not all pairs.
-    Candidates are verified by the Jaccard similarity of their five-word shingle sets; links of at least
-    the threshold join groups.
+    Texts with the same words are one class. Candidates come from band_pairs; they are verified by the
+    Jaccard similarity of their five-word shingle sets; links of at least the threshold join groups.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,39 +230,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, pe
             marks = [hashlib.md5(s.tobytes()).hexdigest() for s in sets]
             yield pa.RecordBatch.from_arrays([b["_id"], pa.array(marks), pa.array(sigs, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["_id", "mark", "sig", "set"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _ in complete_groups(batches, "k", 2**62):
-            k, c = t["k"].to_numpy(), t["c"].to_numpy()
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(k), -1)
-            start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            a, b = [], []
-            for s, e in zip(start.tolist(), [*start[1:].tolist(), len(k)], strict=True):
-                if e - s <= most:
-                    i, j = np.triu_indices(e - s, 1)
-                    a.append(c[s + i])
-                    b.append(c[s + j])
-                    continue
-                left = np.arange(s, e)
-                while len(left):
-                    queue, left = [left[0]], left[1:]
-                    while queue and len(left):
-                        i = queue.pop()
-                        near = (sig[left] == sig[i]).mean(axis=1) >= threshold - 0.15
-                        found, left = left[near], left[~near]
-                        a.append(np.full(len(found), c[i]))
-                        b.append(c[found])
-                        queue += found.tolist()
-            none = np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or [none])), pa.array(np.concatenate(b or [none]))], names=["a", "b"])
-
     bounded_batches(docs.sparkSession)
     rows = written(keyed(docs).select("_id", "_t").mapInArrow(sketch, "_id long, mark string, sig binary, set array<long>"))
     classes = rows.groupBy("mark").agg(F.min("_id").alias("c"))
     sets = written(rows.join(classes, "mark").where("_id = c").dropDuplicates(["c"]).select("c", "sig", "set"))
-    size = 2 * permutations // bands
-    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", i * size + 1, size)) for i in range(bands)))
-    spread = sets.where(F.size("set") > 0).select(F.explode(keys).alias("k"), "c", "sig")
-    pairs = spread.repartition("k").sortWithinPartitions("k", "c").mapInArrow(meet, "a long, b long").distinct()
+    pairs = band_pairs(sets.where(F.size("set") > 0), threshold, bands, most)
     x, y = sets.select(F.col("c").alias("a"), F.col("set").alias("x")), sets.select(F.col("c").alias("b"), F.col("set").alias("y"))
     both = pairs.join(x, "a").join(y, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
     links = both.where(F.col("n") >= threshold * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")

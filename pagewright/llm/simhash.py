@@ -7,6 +7,7 @@ all of them, so every pair within the radius meets in one of the 2^(r+1) - 1 tab
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from ._shared import bounded_batches, complete_groups, connected_components, doc_id, keyed, row_key, written
 
 #: A bucket of more fingerprints than this goes on to finer tables.
@@ -173,15 +175,72 @@ def query(docs: DataFrame) -> DataFrame:
     return out.select(doc_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), doc_id("component_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs without all but one row of each component: the row with the smallest doc_id stays.
+def near_classes(docs: DataFrame, width: int = 5, radius: int = 3, threshold: float = 0.8, salts: int = 64) -> DataFrame:
+    """_id, _h and part: a class is the rows with one set of runs of width words; of each class its smallest
+    _id, that row's _h, and the name of the part that links of Jaccard similarity threshold or more reach.
 
-    Prints are of runs of width words. Of repeated rows of that document one stays, chosen by the hash of
-    all its columns.
+    Candidates are the classes whose prints covering_links joins, and those of minhash.band_pairs: near
+    the threshold most prints differ in more bits than covering masks can drop (see the README). Every
+    candidate is verified on the whole texts: a pair's second text goes to a group of the first, of which
+    there are up to `salts`, so a class with many partners is not one task's work.
     """
-    out = near_components(docs, width)
-    kept = out.where("_id = component_id").select("_id", "_h").distinct()
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints, marks, sigs = [], [], []
+            for text in b["_t"].to_pylist():
+                h = shingle_hashes(text, width)
+                prints.append(majority(h) if len(h) else 0)
+                h = np.unique(h)
+                marks.append(hashlib.md5(h.tobytes()).digest())
+                sigs.append(minhash.signature(h).tobytes())
+            fp = pa.array(np.array(prints, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b["_id"], b["_h"], fp, pa.array(marks, pa.binary()), pa.array(sigs, pa.binary())], names=["_id", "_h", "fp", "mark", "sig"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center, mine = None, np.empty(0, np.uint64)
+        for b in batches:
+            links = []
+            for a, salt, leaf, text in zip(*(b[c].to_pylist() for c in ("a", "salt", "leaf", "_t")), strict=True):
+                h = np.unique(shingle_hashes(text, width))
+                if leaf is None:
+                    center, mine = (a, salt), h
+                elif center == (a, salt):
+                    both = len(np.intersect1d(mine, h, assume_unique=True))
+                    if both >= threshold * (len(mine) + len(h) - both):
+                        links.append((a, leaf))
+            a, leaf = zip(*links, strict=True) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(leaf, pa.int64())], names=["a", "b"])
+
+    bounded_batches(docs.sparkSession)
+    rows = keyed(docs)
+    first = F.min(F.struct("_id", "_h", "fp", "sig")).alias("x")
+    # different texts can share a doc_id, so a class is numbered by its set
+    classes = rows.mapInArrow(sketch, "_id long, _h int, fp long, mark binary, sig binary").groupBy("mark").agg(first)
+    classes = written(classes.select(F.xxhash64("mark").alias("c"), F.col("x._id").alias("_id"), F.col("x._h").alias("_h"), F.col("x.fp").alias("fp"), F.col("x.sig").alias("sig")))
+    nodes = classes.groupBy("fp").agg(F.min("c").alias("n"))
+    by_print = covering_links(nodes, radius).join(nodes.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
+    equal = classes.select("c", "fp").join(nodes, "fp").where("c != n")
+    pairs = minhash.band_pairs(classes.select("c", "sig"), threshold)
+    pairs = pairs.unionByName(by_print.select(F.col("na").alias("a"), F.col("nb").alias("b"))).unionByName(equal.select(F.col("n").alias("a"), F.col("c").alias("b")))
+    pairs = written(pairs.distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")))
+    sides = pairs.select("a", "salt", F.col("b").alias("leaf"), F.col("b").alias("c")).unionByName(pairs.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long").alias("leaf"), F.col("a").alias("c")))
+    wanted = sides.join(classes.select("c", "_id", "_h"), "c").drop("c")
+    texts = wanted.join(rows, ["_id", "_h"]).select("a", "salt", "leaf", "_t")
+    links = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("leaf")).mapInArrow(check, "a long, b long")
+    parts = connected_components(links)
+    return classes.select("c", "_id", "_h").join(parts, F.col("c") == F.col("node"), "left").select("_id", "_h", F.coalesce("component", "c").alias("part"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, radius: int = 3, threshold: float = 0.8) -> DataFrame:
+    """docs without all but one row of each group of near copies: the row with the smallest doc_id stays.
+
+    Near copies share threshold of their sets of runs of width words (near_classes). Texts without words,
+    null included, are one group. One row of a doc_id stays, null too: of several that their groups keep,
+    repeated rows among them, the one with the smallest hash of all its columns.
+    """
+    kept = near_classes(docs, width, radius, threshold).groupBy("part").agg(F.min(F.struct("_id", "_h")).alias("x")).select(F.col("x._id").alias("_id"), F.col("x._h").alias("_kept"))
     tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *row_key(docs))
-    joined = tagged.join(kept, ["_id", "_h"], "left_semi")
+    joined = tagged.join(kept, "_id").where("_h = _kept")
     one = joined.groupBy("_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return one.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from pagewright.llm import simhash
+from pagewright.llm import minhash, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -72,3 +72,48 @@ def test_edge_cases(spark):
     assert simhash.query(docs.limit(0)).collect() == []
     assert sorted(map(str, (r.doc_id for r in simhash.keep_one(docs).collect()))) == ["None"]
     assert simhash.keep_one(docs).columns == docs.columns
+
+
+def near_texts(seed=4, n=120):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    base = [" ".join(r.choices(words, k=k)) for k in (30, 120, 500)]
+    out = []
+    for i in range(n):
+        w = r.choice(base).split()
+        for _ in range(r.randrange(max(2, len(w) // 15))):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        out.append((i, " ".join(w)))
+    return out + [(n, None), (n + 1, ""), (n + 2, "One two"), (n + 3, "one TWO"), (n + 4, out[0][1].upper()), (None, out[1][1]), (n + 5, "alone " * 9)]
+
+
+def kept_by_brute_force(rows):
+    sets = [set(simhash.shingle_hashes(t or "", 5).tolist()) for _, t in rows]
+    part = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]) and part[i] != part[j]:
+                part = [part[j] if p == part[i] else p for p in part]
+    best = {}
+    for (d, _), p in zip(rows, part, strict=True):
+        best[p] = min(best.get(p, 10**9), -1 if d is None else d)
+    return sorted(best.values())
+
+
+@pytest.mark.parametrize("most, limit", [(64, 8192), (2, 8192), (2, 8)])
+def test_keep_one_equals_brute_force(spark, monkeypatch, most, limit):
+    whole = minhash.band_pairs
+    monkeypatch.setattr(minhash, "band_pairs", lambda rows, threshold: whole(rows, threshold, most=most, limit=limit))
+    rows = near_texts()
+    docs = spark.createDataFrame([(d, t, None, None, 1) for d, t in rows], SCHEMA).repartition(3)
+    got = simhash.keep_one(docs).collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == kept_by_brute_force(rows)
+    text = dict(rows)
+    assert all(r.text == text[r.doc_id] for r in got)
+
+
+def test_keep_one_keeps_one_row_of_an_id(spark):
+    rows = [(1, "p q r s t u"), (1, "p q r s t u"), (2, "p q r s t u"), (3, "a b c d e f")]
+    docs = spark.createDataFrame([(d, t, None, None, 1) for d, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 3]
+    assert simhash.keep_one(docs.limit(0)).collect() == []
