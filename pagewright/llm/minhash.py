@@ -206,7 +206,10 @@ def band_pairs(classes: DataFrame, threshold: float = 0.8, bands: int = 25, most
     size = F.floor(F.length("sig") / (2 * bands)).cast("int") * 2
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("sig").substr(size * i + 1, size)) for i in range(bands)))
     order = lambda rows: rows.repartition("k").sortWithinPartitions("k", "c")
-    out = written(order(classes.select(F.explode(keys).alias("k"), "c", "sig")).mapInArrow(meet, schema))
+    # signatures follow only to buckets of two or more
+    spread = classes.select(F.explode(keys).alias("k"), "c")
+    met = spread.join(spread.groupBy("k").count().where("count > 1").select("k"), "k", "left_semi")
+    out = written(order(met.join(classes.select("c", "sig"), "c").select("k", "c", "sig")).mapInArrow(meet, schema))
     found, rows = out.where("k is null").select("a", "b"), out.where("k is not null").select("k", F.col("a").alias("c"), "sig")
     if not rows.isEmpty():
         n = rows.groupBy("k").agg(F.ceil(F.count("*") * 2 / limit).cast("int").alias("n"))
