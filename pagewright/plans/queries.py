@@ -62,7 +62,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"check_{c.replace('-', '_')}": (lambda s, d, c=c: issues(s, d, [c])) for c in CHECKS}
     both = lambda f: lambda s, d: f((c := corpus(s, d)).docs, run.run_checks(c, STRUCTURE))
     dense = lambda docs, i: run.dense_counts(docs, i).select("doc_id", *(F.col(f"`{c}`").alias(c.replace("-", "_")) for c in CHECKS))
-    b = F.col("text")
     return out | {
         "run_checks": issues,
         "run_checks_altered_styles": lambda s, d: issues(s, d, styles=ALTERED),
@@ -73,9 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dashboard": both(run.dashboard),
         "text_reports": both(report.text_reports),
         "json_reports": both(lambda docs, i: report.json_reports(docs, i, CHECKS)),
-        "typed_patterns": _block_function(lambda x: x.select("doc_id", "index", PATTERNS.caption_column(b).alias("caption"), PATTERNS.kind_column(b).alias("caption_kind"), PATTERNS.list_column(b).alias("list_item"), patterns.equation_column(b).alias("equation"), text.has_typed_number(b).alias("numbered"))),
-        "classify_text": _block_function(lambda x: x.select("doc_id", "index", PATTERNS.typed_column(b).alias("t")).select("doc_id", "index", "t.type", "t.kind")),
-        "text_functions": _block_function(lambda x: x.select("doc_id", "index", text.preview(b).alias("preview"), text.normal_heading(b).alias("heading"), text.starts_like_number(b).alias("like_number"))),
+        "typed_patterns": _block_function(lambda x: x.select("doc_id", "index", PATTERNS.caption_column(F.col("text")).alias("caption"), PATTERNS.kind_column(F.col("text")).alias("caption_kind"), PATTERNS.list_column(F.col("text")).alias("list_item"), patterns.equation_column(F.col("text")).alias("equation"), text.has_typed_number(F.col("text")).alias("numbered"))),
+        "classify_text": _block_function(lambda x: x.select("doc_id", "index", PATTERNS.typed_column(F.col("text")).alias("t")).select("doc_id", "index", "t.type", "t.kind")),
+        "text_functions": _block_function(lambda x: x.select("doc_id", "index", text.preview(F.col("text")).alias("preview"), text.normal_heading(F.col("text")).alias("heading"), text.starts_like_number(F.col("text")).alias("like_number"))),
         "neighbours": _block_function(lambda x: with_neighbours(x).select("doc_id", "index", "before_type", "after_type", "before_kind", "after_kind", "last_level")),
         "plain_text_blocks": lambda s, d: plain_blocks(s.read.parquet(f"{d}/documents.parquet"), PATTERNS).select("doc_id", "index", "type", "kind", "text"),
         "ueq_scores": lambda s, d: run.ueq_scores(s.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("participant"), F.explode(F.array(F.struct(F.lit("pragmatic").alias("scale"), (F.col("l_suppkey") % 7 + 1).alias("answer")), F.struct(F.lit("hedonic").alias("scale"), (F.col("l_partkey") % 7 + 1).alias("answer")))).alias("a")).select("participant", "a.*")),
