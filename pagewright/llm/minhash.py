@@ -8,12 +8,12 @@ signatures estimates the Jaccard similarity of the shingle sets.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._samples import ngram_hashes
@@ -25,6 +25,8 @@ WIDTH = 5
 RANGE_ROWS = 4000
 #: Beyond so many ranges they get larger instead; their cuts are a list of longs that travels with the code.
 MOST_RANGES = 100_000
+#: Classes and shingles of about one part of a large bucket; two parts meet in a task.
+PART_ROWS, PART_SHINGLES = 2048, 1 << 19
 
 
 def shingles(text: str, width: int = WIDTH, edges: bool = True) -> np.ndarray:
@@ -162,12 +164,19 @@ def _tree(sig: np.ndarray, least: float, sure: float, others: int = 16) -> tuple
     return a, b
 
 
+def band_keys(bands: int) -> Column:
+    """The buckets of a signature (column sig), one for each band."""
+    size = F.floor(F.length("sig") / (2 * bands)).cast("int") * 2
+    return F.array(*(F.xxhash64(F.lit(i), F.col("sig").substr(size * i + 1, size)) for i in range(bands)))
+
+
 def band_pairs(classes: DataFrame, threshold: float = 0.8, bands: int = 25, most: int = 64, limit: int = 8192) -> DataFrame:
     """a, b: candidates among classes (columns c, sig) that agree in a band of their signatures.
 
     In a bucket of up to `most` classes every two whose signatures are alike by threshold - 0.15 are
-    candidates; a larger one gives links between and along chains of likeness and not all pairs. A bucket of more
-    than `limit` classes is dealt out in blocks, each pair of blocks a group of its own.
+    candidates; a larger one gives links between and along chains of likeness and not all pairs: unjoined_links
+    verifies the others. A bucket of more than `limit` classes is dealt out in blocks, each pair of blocks a
+    group of its own.
     """
     least, sure = threshold - 0.15, threshold + 0.1
     schema = "k long, a long, b long, sig binary"
@@ -203,11 +212,9 @@ def band_pairs(classes: DataFrame, threshold: float = 0.8, bands: int = 25, most
             a, b = np.concatenate(a or [none]), np.concatenate(b or [none])
             yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], names=["k", "a", "b", "sig"])
 
-    size = F.floor(F.length("sig") / (2 * bands)).cast("int") * 2
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("sig").substr(size * i + 1, size)) for i in range(bands)))
     order = lambda rows: rows.repartition("k").sortWithinPartitions("k", "c")
     # signatures follow only to buckets of two or more
-    spread = classes.select(F.explode(keys).alias("k"), "c")
+    spread = classes.select(F.explode(band_keys(bands)).alias("k"), "c")
     met = spread.join(spread.groupBy("k").count().where("count > 1").select("k"), "k", "left_semi")
     out = written(order(met.join(classes.select("c", "sig"), "c").select("k", "c", "sig")).mapInArrow(meet, schema))
     found, rows = out.where("k is null").select("a", "b"), out.where("k is not null").select("k", F.col("a").alias("c"), "sig")
@@ -219,6 +226,101 @@ def band_pairs(classes: DataFrame, threshold: float = 0.8, bands: int = 25, most
     return found.distinct()
 
 
+def _open_pairs(sig: np.ndarray, label: np.ndarray, p: np.ndarray, band: int, bands: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each place with the later ones alike by least that have another label by then.
+
+    Pairs that meet in an earlier band are left to it. p: the part of each place; with two parts only the
+    pairs across them count, as those inside a part have a group of their own.
+    """
+    size, across = sig.shape[1] // bands, (p != p[0]).any()
+    for i in range(len(sig) - 1):
+        at = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & ((p[i + 1 :] != p[i]) | (not across)))
+        if not len(at):
+            continue
+        same = sig[at] == sig[i]
+        near = np.count_nonzero(same, axis=1) >= least * sig.shape[1]
+        near &= ~same[:, : band * size].reshape(len(at), band, size).all(axis=2).any(axis=1)
+        if near.any():
+            yield i, at[near]
+
+
+def _by_group(t: pa.Table) -> Iterator[tuple[pa.Table, tuple]]:
+    """The groups of a table sorted by g, and what _open_pairs takes of each."""
+    g = t["g"].to_numpy()
+    start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    for s, n in zip(start.tolist(), np.diff(np.r_[start, len(g)]).tolist(), strict=True):
+        x = t.slice(s, n)
+        sig = np.frombuffer(b"".join(x["sig"].to_pylist()), np.uint16).reshape(n, -1)
+        yield x, (sig, x["part"].to_numpy().copy(), x["p"].to_numpy(), x["i"][0].as_py())
+
+
+def unjoined_links(classes: DataFrame, parts: DataFrame, sets: DataFrame, read: Callable[[object], np.ndarray], threshold: float = 0.8, bands: int = 25, most: int = 64, rows: int = PART_ROWS, shingles: int = PART_SHINGLES) -> DataFrame | None:
+    """a, b: links between parts that the pairs of buckets of over `most` classes give; None if there are none.
+
+    classes: c, sig, w (shingles in its set); parts: c, part, as verified links have joined them so far;
+    sets: c and x, of which read makes the sorted set. All pairs of a bucket that are in different parts,
+    and alike by threshold - 0.15, are verified by Jaccard or joined by verified links on the way. Buckets
+    are dealt out in parts of about `rows` classes and `shingles`, every two of them a group of its own.
+    Signatures tell first which classes have such a pair; only their sets follow.
+    """
+    least = threshold - 0.15
+
+    def waiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _ in complete_groups(batches, "g", 2**62):
+            for x, (sig, label, p, band) in _by_group(t):
+                met = np.zeros(len(sig), bool)
+                for i, at in _open_pairs(sig, label, p, band, bands, least):
+                    met[i] = met[at] = True
+                yield from x.select(["g", "i", "p", "c"]).filter(pa.array(met)).combine_chunks().to_batches()
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _ in complete_groups(batches, "g", 2**62, 1):
+            g, c = t["g"].to_numpy(), t["c"].to_numpy()
+            t = t.filter(pa.array(np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])]))  # repeated rows
+            for x, (sig, label, p, band) in _by_group(t):
+                found = [read(s) for s in x["x"].to_pylist()]
+                n, part, a, b = np.array([len(s) for s in found]), label.copy(), [], []
+                start = np.r_[0, np.cumsum(n)]
+                names, place = np.unique(np.concatenate(found), return_inverse=True)
+                mine = np.zeros(len(names), bool)
+                for i, at in _open_pairs(sig, label, p, band, bands, least):
+                    mine[:] = False
+                    mine[place[start[i] : start[i + 1]]] = True
+                    first = start[at[0]]
+                    total = np.r_[0, np.cumsum(mine[place[first : start[at[-1] + 1]]])]
+                    both = total[start[at + 1] - first] - total[start[at] - first]
+                    at = at[both >= threshold * (n[i] + n[at] - both)]
+                    if len(at):
+                        a += [part[i]] * len(at)
+                        b += part[at].tolist()
+                        label[np.isin(label, label[at])] = label[i]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    spread = classes.select(F.posexplode(band_keys(bands)).alias("i", "k"), "c")
+    large = written(spread.groupBy("i", "k").count().where(F.col("count") > most).select("i", "k"))
+    if large.isEmpty():
+        return None
+    members = written(spread.join(large, ["i", "k"]).join(classes.select("c", "w"), "c").join(parts, "c").select("i", "k", "c", "w", "part"))
+    n = F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("w") / shingles)).cast("int").alias("n")
+    deal = members.groupBy("i", "k").agg(n, F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("i", "k", "n")
+    dealt = members.join(deal, ["i", "k"]).withColumn("p", F.pmod(F.xxhash64("c", F.lit(1)), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select(F.xxhash64("i", "k", F.least("p", "o"), F.greatest("p", "o")).alias("g"), "i", "p", "c", "part")
+    order = lambda t: t.repartition("g").sortWithinPartitions("g", "c")
+    some = written(order(dealt.join(classes.select("c", "sig"), "c")).mapInArrow(waiting, "g long, i int, p int, c long"))
+    if some.isEmpty():
+        return None
+    whole = some.join(classes.select("c", "sig"), "c").join(parts, "c").join(sets, "c")
+    return order(whole.select("g", "i", "p", "c", "part", "sig", "x")).mapInArrow(check, "a long, b long")
+
+
+def joined_further(parts: DataFrame, links: DataFrame | None) -> DataFrame:
+    """parts (c, part) after links between parts."""
+    if links is None:
+        return parts
+    more = connected_components(links)
+    return parts.join(more, parts["part"] == more["node"], "left").select("c", F.coalesce("component", "part").alias("part"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, permutations: int = PERMUTATIONS, width: int = WIDTH, most: int = 64) -> DataFrame:
     """doc_id, class_id (smallest doc_id with an equal shingle set's text) and group_id of every row.
 

@@ -182,20 +182,22 @@ def near_classes(docs: DataFrame, width: int = 5, radius: int = 3, threshold: fl
     Candidates are the classes whose prints covering_links joins, and those of minhash.band_pairs: near
     the threshold most prints differ in more bits than covering masks can drop (see the README). Every
     candidate is verified on the whole texts: a pair's second text goes to a group of the first, of which
-    there are up to `salts`, so a class with many partners is not one task's work.
+    there are up to `salts`, so a class with many partners is not one task's work. The pairs of large
+    buckets that these links have not joined are verified by minhash.unjoined_links.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints, marks, sigs = [], [], []
+            prints, marks, sigs, sizes = [], [], [], []
             for text in b["_t"].to_pylist():
                 h = shingle_hashes(text, width)
                 prints.append(majority(h) if len(h) else 0)
                 h = np.unique(h)
                 marks.append(hashlib.md5(h.tobytes()).digest())
                 sigs.append(minhash.signature(h).tobytes())
+                sizes.append(len(h))
             fp = pa.array(np.array(prints, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b["_id"], b["_h"], fp, pa.array(marks, pa.binary()), pa.array(sigs, pa.binary())], names=["_id", "_h", "fp", "mark", "sig"])
+            yield pa.RecordBatch.from_arrays([b["_id"], b["_h"], fp, pa.array(marks, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["_id", "_h", "fp", "mark", "sig", "w"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         center, mine = None, np.empty(0, np.uint64)
@@ -214,10 +216,10 @@ def near_classes(docs: DataFrame, width: int = 5, radius: int = 3, threshold: fl
 
     bounded_batches(docs.sparkSession)
     rows = keyed(docs)
-    first = F.min(F.struct("_id", "_h", "fp", "sig")).alias("x")
+    first = F.min(F.struct("_id", "_h", "fp", "sig", "w")).alias("x")
     # different texts can share a doc_id, so a class is numbered by its set
-    classes = rows.mapInArrow(sketch, "_id long, _h int, fp long, mark binary, sig binary").groupBy("mark").agg(first)
-    classes = written(classes.select(F.xxhash64("mark").alias("c"), F.col("x._id").alias("_id"), F.col("x._h").alias("_h"), F.col("x.fp").alias("fp"), F.col("x.sig").alias("sig")))
+    classes = rows.mapInArrow(sketch, "_id long, _h int, fp long, mark binary, sig binary, w long").groupBy("mark").agg(first)
+    classes = written(classes.select(F.xxhash64("mark").alias("c"), F.col("x._id").alias("_id"), F.col("x._h").alias("_h"), F.col("x.fp").alias("fp"), F.col("x.sig").alias("sig"), F.col("x.w").alias("w")))
     nodes = classes.groupBy("fp").agg(F.min("c").alias("n"))
     by_print = covering_links(nodes, radius).join(nodes.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
     equal = classes.select("c", "fp").join(nodes, "fp").where("c != n")
@@ -228,8 +230,11 @@ def near_classes(docs: DataFrame, width: int = 5, radius: int = 3, threshold: fl
     wanted = sides.join(classes.select("c", "_id", "_h"), "c").drop("c")
     texts = wanted.join(rows, ["_id", "_h"]).select("a", "salt", "leaf", "_t")
     links = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("leaf")).mapInArrow(check, "a long, b long")
-    parts = connected_components(links)
-    return classes.select("c", "_id", "_h").join(parts, F.col("c") == F.col("node"), "left").select("_id", "_h", F.coalesce("component", "c").alias("part"))
+    joined = connected_components(links)
+    parts = written(classes.select("c").join(joined, F.col("c") == F.col("node"), "left").select("c", F.coalesce("component", "c").alias("part")))
+    sets = classes.select("c", "_id", "_h").join(rows, ["_id", "_h"]).select("c", F.col("_t").alias("x"))
+    further = minhash.unjoined_links(classes.select("c", "sig", "w"), parts, sets, lambda text: np.unique(shingle_hashes(text, width)), threshold)
+    return classes.select("c", "_id", "_h").join(minhash.joined_further(parts, further), "c").select("_id", "_h", "part")
 
 
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 3, threshold: float = 0.8) -> DataFrame:

@@ -59,3 +59,23 @@ def test_near_duplicates(spark, most):
         rows.append((i, " ".join(w)))
     got = minhash.near_duplicates(spark.createDataFrame(rows + [(90, None), (91, "")], SCHEMA), most=most).collect()
     assert {r.doc_id: r.group_id for r in got} == {**{i: i % 4 for i in range(40)}, 90: 90, 91: 90}
+
+
+def template_family(n=1500, pairs=60, fixed=204, own=29, shared=9):
+    """Texts of Jaccard 0.775 by their common template; text 2i + 1 of the first pairs has 0.81 with 2i."""
+    head = " ".join(f"t{i}" for i in range(fixed))
+    rows = []
+    for i in range(n):
+        tail = [f"u{i}x{j}" for j in range(own)]
+        if i < 2 * pairs and i % 2:
+            tail[-shared:] = [f"u{i - 1}x{j}" for j in range(own)][-shared:]
+        rows.append((i, f"{head} {' '.join(tail)}"))
+    return rows, {i: i - 1 if i < 2 * pairs and i % 2 else i for i in range(n)}
+
+
+def test_pairs_at_the_threshold_in_a_template_family(spark):
+    from pagewright.llm import simhash
+
+    rows, group = template_family()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(group.values()))
