@@ -13,7 +13,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
@@ -175,6 +175,11 @@ def query(docs: DataFrame) -> DataFrame:
     return out.select(doc_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), doc_id("component_id").alias("component_id"))
 
 
+def _text_key(docs: DataFrame) -> tuple[Column, Column]:
+    """row_key with 64 bits of the text: a table may have one id, or none, for all its rows."""
+    return row_key(docs)[0], F.xxhash64(docs["text"].cast("string")).alias("_h")
+
+
 def near_classes(docs: DataFrame, width: int = 5, radius: int = 3, threshold: float = 0.8, salts: int = 64) -> DataFrame:
     """_id, _h and part: a class is the rows with one set of runs of width words; of each class its smallest
     _id, that row's _h, and the name of the part that links of Jaccard similarity threshold or more reach.
@@ -215,10 +220,10 @@ def near_classes(docs: DataFrame, width: int = 5, radius: int = 3, threshold: fl
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(leaf, pa.int64())], names=["a", "b"])
 
     bounded_batches(docs.sparkSession)
-    rows = keyed(docs)
+    rows = docs.select(*_text_key(docs), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_t"))
     first = F.min(F.struct("_id", "_h", "fp", "sig", "w")).alias("x")
     # different texts can share a doc_id, so a class is numbered by its set
-    classes = rows.mapInArrow(sketch, "_id long, _h int, fp long, mark binary, sig binary, w long").groupBy("mark").agg(first)
+    classes = rows.mapInArrow(sketch, "_id long, _h long, fp long, mark binary, sig binary, w long").groupBy("mark").agg(first)
     classes = written(classes.select(F.xxhash64("mark").alias("c"), F.col("x._id").alias("_id"), F.col("x._h").alias("_h"), F.col("x.fp").alias("fp"), F.col("x.sig").alias("sig"), F.col("x.w").alias("w")))
     nodes = classes.groupBy("fp").agg(F.min("c").alias("n"))
     by_print = covering_links(nodes, radius).join(nodes.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
@@ -241,11 +246,12 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = 3, threshold: float
     """docs without all but one row of each group of near copies: the row with the smallest doc_id stays.
 
     Near copies share threshold of their sets of runs of width words (near_classes). Texts without words,
-    null included, are one group. One row of a doc_id stays, null too: of several that their groups keep,
-    repeated rows among them, the one with the smallest hash of all its columns.
+    null included, are one group. Each group keeps one row, whatever ids its rows have: different texts with
+    null or equal doc_ids stay apart. Of equal doc_ids in a group the text with the smallest hash stays, of
+    repeated rows the one with the smallest hash of all its columns.
     """
-    kept = near_classes(docs, width, radius, threshold).groupBy("part").agg(F.min(F.struct("_id", "_h")).alias("x")).select(F.col("x._id").alias("_id"), F.col("x._h").alias("_kept"))
-    tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *row_key(docs))
-    joined = tagged.join(kept, "_id").where("_h = _kept")
-    one = joined.groupBy("_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    kept = near_classes(docs, width, radius, threshold).groupBy("part").agg(F.min(F.struct("_id", "_h")).alias("x")).select("x._id", "x._h")
+    tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *_text_key(docs))
+    joined = tagged.join(kept, ["_id", "_h"])
+    one = joined.groupBy("_id", "_h").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return one.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -117,3 +117,12 @@ def test_keep_one_keeps_one_row_of_an_id(spark):
     docs = spark.createDataFrame([(d, t, None, None, 1) for d, t in rows], SCHEMA)
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 3]
     assert simhash.keep_one(docs.limit(0)).collect() == []
+
+
+def test_keep_one_keeps_a_row_of_each_group_whatever_its_id(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(None, text(i)) for i in range(6)] + [(4, text(i)) for i in range(10, 14)] + [(i, text(0)) for i in (7, 9)]
+    rows += [(4, text(20)), (5, text(20)), (8, text(20) + " more"), (4, text(10)), (None, text(1))]
+    docs = spark.createDataFrame([(d, t, None, None, 1) for d, t in rows], SCHEMA).repartition(3)
+    got = sorted((str(r.doc_id), r.text) for r in simhash.keep_one(docs).collect())
+    assert got == sorted([("None", text(i)) for i in range(6)] + [("4", text(i)) for i in (10, 11, 12, 13, 20)])
