@@ -229,10 +229,11 @@ def band_pairs(classes: DataFrame, threshold: float = 0.8, bands: int = 25, most
 def _open_pairs(sig: np.ndarray, label: np.ndarray, p: np.ndarray, band: int, bands: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
     """Each place with the later ones alike by least that have another label by then.
 
-    Pairs that meet in an earlier band are left to it. p: the part of each place; with two parts only the
+    Pairs that meet in an earlier band are left to it; number `bands` is no band and leaves none. p: the part of each place; with two parts only the
     pairs across them count, as those inside a part have a group of their own.
     """
     size, across = sig.shape[1] // bands, (p != p[0]).any()
+    band %= bands
     for i in range(len(sig) - 1):
         at = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & ((p[i + 1 :] != p[i]) | (not across)))
         if not len(at):
@@ -254,14 +255,15 @@ def _by_group(t: pa.Table) -> Iterator[tuple[pa.Table, tuple]]:
         yield x, (sig, x["part"].to_numpy().copy(), x["p"].to_numpy(), x["i"][0].as_py())
 
 
-def unjoined_links(classes: DataFrame, parts: DataFrame, sets: DataFrame, read: Callable[[object], np.ndarray], threshold: float = 0.8, bands: int = 25, most: int = 64, rows: int = PART_ROWS, shingles: int = PART_SHINGLES) -> DataFrame | None:
+def unjoined_links(classes: DataFrame, parts: DataFrame, sets: DataFrame, read: Callable[[object], np.ndarray], threshold: float = 0.8, bands: int = 25, most: int = 64, rows: int = PART_ROWS, shingles: int = PART_SHINGLES, further: DataFrame | None = None) -> DataFrame | None:
     """a, b: links between parts that the pairs of buckets of over `most` classes give; None if there are none.
 
     classes: c, sig, w (shingles in its set); parts: c, part, as verified links have joined them so far;
     sets: c and x, of which read makes the sorted set. All pairs of a bucket that are in different parts,
     and alike by threshold - 0.15, are verified by Jaccard or joined by verified links on the way. Buckets
     are dealt out in parts of about `rows` classes and `shingles`, every two of them a group of its own.
-    Signatures tell first which classes have such a pair; only their sets follow.
+    Signatures tell first which classes have such a pair; only their sets follow. further: more buckets
+    (columns k, c), of any size over two.
     """
     least = threshold - 0.15
 
@@ -297,7 +299,9 @@ def unjoined_links(classes: DataFrame, parts: DataFrame, sets: DataFrame, read:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     spread = classes.select(F.posexplode(band_keys(bands)).alias("i", "k"), "c")
-    large = written(spread.groupBy("i", "k").count().where(F.col("count") > most).select("i", "k"))
+    if further is not None:
+        spread = spread.unionByName(further.select(F.lit(bands).alias("i"), "k", "c"))
+    large = written(spread.groupBy("i", "k").count().where(F.col("count") > F.when(F.col("i") < bands, most).otherwise(2)).select("i", "k"))
     if large.isEmpty():
         return None
     members = written(spread.join(large, ["i", "k"]).join(classes.select("c", "w"), "c").join(parts, "c").select("i", "k", "c", "w", "part"))

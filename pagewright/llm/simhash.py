@@ -188,7 +188,7 @@ def near_classes(docs: DataFrame, width: int = 5, radius: int = 3, threshold: fl
     the threshold most prints differ in more bits than covering masks can drop (see the README). Every
     candidate is verified on the whole texts: a pair's second text goes to a group of the first, of which
     there are up to `salts`, so a class with many partners is not one task's work. The pairs of large
-    buckets that these links have not joined are verified by minhash.unjoined_links.
+    buckets, and of components of prints, that these links have not joined are verified by minhash.unjoined_links.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +238,10 @@ def near_classes(docs: DataFrame, width: int = 5, radius: int = 3, threshold: fl
     joined = connected_components(links)
     parts = written(classes.select("c").join(joined, F.col("c") == F.col("node"), "left").select("c", F.coalesce("component", "c").alias("part")))
     sets = classes.select("c", "_id", "_h").join(rows, ["_id", "_h"]).select("c", F.col("_t").alias("x"))
-    further = minhash.unjoined_links(classes.select("c", "sig", "w"), parts, sets, lambda text: np.unique(shingle_hashes(text, width)), threshold)
+    # print links are proposals: a tree's failed link must not part the members behind it
+    near = connected_components(by_print, "na", "nb")
+    by_component = classes.select("c", "fp").join(nodes, "fp").join(near, F.col("n") == near["node"], "left").select(F.coalesce("component", "n").alias("k"), "c")
+    further = minhash.unjoined_links(classes.select("c", "sig", "w"), parts, sets, lambda text: np.unique(shingle_hashes(text, width)), threshold, further=by_component)
     return classes.select("c", "_id", "_h").join(minhash.joined_further(parts, further), "c").select("_id", "_h", "part")
 
 

@@ -126,3 +126,12 @@ def test_keep_one_keeps_a_row_of_each_group_whatever_its_id(spark):
     docs = spark.createDataFrame([(d, t, None, None, 1) for d, t in rows], SCHEMA).repartition(3)
     got = sorted((str(r.doc_id), r.text) for r in simhash.keep_one(docs).collect())
     assert got == sorted([("None", text(i)) for i in range(6)] + [("4", text(i)) for i in (10, 11, 12, 13, 20)])
+
+
+def test_near_copies_of_one_print_behind_a_failed_link(spark, monkeypatch):
+    # a repeated run sets the print and counts once in a set; without bands only prints give candidates
+    monkeypatch.setattr(minhash, "band_pairs", lambda rows, threshold: rows.select(rows["c"].alias("a"), rows["c"].alias("b")).limit(0))
+    rows = [(i, "over " * 2000 + " ".join(f"w{i // 2}x{j}" for j in range(60)) + " end" * (i % 2)) for i in range(24)]
+    assert len({simhash.majority(simhash.shingle_hashes(t, 5)) for _, t in rows}) == 1
+    docs = spark.createDataFrame([(d, t, None, None, 1) for d, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == list(range(0, 24, 2))
