@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 #: Arrow batches of this many bytes at most reach Python, whatever the length of a text.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -40,15 +41,57 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def process_wide(kind: str, key: str, make: Callable[[], object]):
-    """What make() gives, made once in a Python worker for its later tasks; one of each kind is kept."""
+def process_wide(key: str, make: Callable[[], object]):
+    """What make() gives, made once in a Python worker for its later tasks; a worker keeps one such thing."""
     import builtins
 
-    kept = builtins.__dict__.setdefault("_pagewright_kept", {})
-    if kept.get(kind, ("",))[0] != key:
-        kept.pop(kind, None)
-        kept[kind] = (key, make())
-    return kept[kind][1]
+    kept = builtins.__dict__.get("_pagewright_kept", (None, None))
+    if kept[0] != key:
+        builtins.__dict__.pop("_pagewright_kept", None)
+        builtins.__dict__["_pagewright_kept"] = kept = (key, make())
+    return kept[1]
+
+
+class Remembered:
+    """Values by name, made for all new names of a call at once.
+
+    Names used since memory was full the time before last are remembered: about `limit` and as many again.
+    """
+
+    def __init__(self, make: Callable[[list[str]], Iterable], limit: int) -> None:
+        self.make, self.limit = make, limit
+        self.now: dict = {}
+        self.older: dict = {}
+
+    def __call__(self, names: list[str]) -> list:
+        if len(self.now) > self.limit:
+            self.now, self.older = {}, self.now
+        now, older = self.now, self.older
+        new = [x for x in names if x not in now]
+        now.update((x, older[x]) for x in new if x in older)
+        missing = [x for x in new if x not in older]
+        now.update(zip(missing, self.make(missing), strict=True))
+        return list(map(now.__getitem__, names))
+
+
+def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different words of texts (between ASCII white space), the number of each word, and where each text's words begin (and the last one's end).
+
+    White space at either end of a text counts as a blank word.
+    """
+    words = pc.ascii_split_whitespace(texts)
+    begin = words.offsets.to_numpy() - words.offsets[0].as_py()
+    coded = words.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), begin
+
+
+def text_sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the rows of values that each text has."""
+    out = np.zeros((len(begin) - 1, *values.shape[1:]))
+    some = np.flatnonzero(np.diff(begin))
+    if len(some):
+        out[some] = np.add.reduceat(values, begin[some], axis=0, dtype=np.float64)
+    return out
 
 
 def keyed(docs: DataFrame, text: bool = True) -> DataFrame:

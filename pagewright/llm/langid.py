@@ -153,7 +153,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = process_wide("langid", name, lambda: Scorer(model))
+        scorer = process_wide(name, lambda: Scorer(model))
         for b in batches:
             lang, score = zip(*map(scorer.predict, b["_t"].to_pylist()), strict=True) if b.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([b["_id"], b["_h"], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["_id", "_h", "lang_pred", "score"])
@@ -179,7 +179,7 @@ def accepted(docs: DataFrame, least: float = 0.5, **options: int) -> DataFrame:
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = process_wide("langid", name, lambda: Scorer(model))
+        scorer = process_wide(name, lambda: Scorer(model))
         for b in batches:
             keep = [lang != UNKNOWN and score >= least for lang, score in map(scorer.predict, b["text"].to_pylist())]
             yield b.filter(pa.array(keep, pa.bool_()))

@@ -8,6 +8,7 @@ the corpus, and a group wastes part of its last sequences only.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
@@ -16,18 +17,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, doc_id, keyed, process_wide, written
+from ._shared import Remembered, bounded_batches, coded_words, doc_id, keyed, process_wide, written
 
 #: Tokens packed in one group.
 GROUP = 8_000_000
-#: Chunks of text whose ids a Python worker remembers, about 200 bytes each.
-REMEMBERED = 1_000_000
-
-#: Lower-case words of ASCII and Latin-1 letters in UTF-8 (fixed by Unicode; all are their own NFC).
-WORD = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf\x9f])+")
+#: Chunks of text, of about 200 bytes each, that a Python worker remembers in either of two generations.
+REMEMBERED = 150_000
+
+# The tokenizer file's parts that chunks rely on, and its bytes' alphabet.
+SHAPE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Lower-case words of ASCII and Latin-1 letters (all are their own NFC).
+WORD = re.compile("[a-zß-öø-ÿ]+")
+#: Such a word and marks without an apostrophe, which would bind to letters: split there by the tokenizer too.
+MARKED = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 #: Byte-level alphabet: bytes that don't print stand as 256 and on, in order.
 _PRINTS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTS)))}
@@ -42,59 +57,67 @@ def default_tokenizer() -> str:
 class ChunkTokenizer:
     """Ids of texts, chunk by chunk.
 
-    This tokenizer lower-cases, splits at white space before anything else, and no rule looks across it,
-    so a text's ids are those of its chunks between ASCII white space; a chunk's ids are remembered. A
-    chunk that is new but ends in one full stop or comma after a letter is its stem and that mark.
+    The tokenizer this is made for lower-cases, splits at white space before anything else, and no rule
+    looks across it: a text's ids are those of its chunks between ASCII white space. So a batch is split in
+    Arrow, its different chunks are looked up once, and ids are gathered by number. A file with another
+    normalizer or pre-tokenizer than SHAPE encodes whole texts instead.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.remembered = remembered
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        model, ids = self.tokenizer.model, self.known
-        odd = []
+        with open(path, encoding="utf-8") as f:
+            shape = json.load(f)
+        self.by_chunk = all(shape.get(k) == v for k, v in SHAPE.items()) and not any(shape["model"].get(k) for k in ("dropout", "unk_token"))
+        self.ids = Remembered(self._learn, remembered)
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        found, model, odd, marked = {}, self.tokenizer.model, [], []
+        packed = lambda ids: array("I", ids).tobytes()
+        word = lambda c: packed([t.id for t in model.tokenize(c.encode().decode("latin-1").translate(BYTE_CHARS))])
         for c in chunks:
             if WORD.fullmatch(c):  # one lower-case word: only the model has something to do
-                ids[c] = array("I", [t.id for t in model.tokenize(c.decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+                found[c] = word(c)
+            elif m := MARKED.fullmatch(c):
+                marked.append(m.groups())
             else:
                 odd.append(c)
-        chunks = odd
-        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        self.known.update(zip(chunks, (array("I", e.ids).tobytes() for e in found), strict=True))
-
-    def encode(self, texts: list[bytes], together: int = 64) -> Iterator[bytes]:
-        """Each text's ids as little-endian 32-bit values."""
-        for i in range(0, len(texts), together):
-            split = [t.split() for t in texts[i : i + together]]
-            every = set().union(*split)
-            new = {c for c in every if c not in self.known}
-            if len(self.known) + 2 * len(new) > self.remembered:
-                self.known.clear()
-                new = every
-            stems = {c: stem(c) for c in new}
-            self._learn([s for s in {*stems.values(), b".", b","} if s not in self.known])
-            for c, s in stems.items():
-                if c != s:
-                    self.known[c] = self.known[s] + (self.known[c[-1:]] if c[-1] in b".," and s[-1] not in b".," else b"")
-            for chunks in split:
-                yield b"".join(map(self.known.__getitem__, chunks))
-
-
-def stem(chunk: bytes) -> bytes:
-    """chunk in lower case without one final full stop or comma, where the ids are sure to be the same.
-
-    Upper case is left alone beside combining marks, with which it may compose otherwise than lower case.
+        odd += {marks for _, marks in marked if marks not in found}
+        ids = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+        found.update(zip(odd, (packed(e.ids) for e in ids), strict=True))
+        found.update((w + marks, (found.get(w) or word(w)) + found[marks]) for w, marks in marked)
+        return [found[c] for c in chunks]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and where each text's begin (and the last one's end)."""
+        if not self.by_chunk:
+            found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.empty(0, "<u4"), *found]), np.cumsum([0, *map(len, found)])
+        names, at, begin = coded_words(plainer(texts))
+        parts = self.ids(names)
+        size = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        n = size[at]
+        upto = np.r_[0, np.cumsum(n, dtype=np.int64)]
+        shift = (np.cumsum(size, dtype=np.int64) - size)[at] - upto[:-1]
+        place = np.repeat(shift.astype(np.int32), n) if upto[-1] < 2**31 else np.repeat(shift, n)
+        place += np.arange(upto[-1], dtype=place.dtype)
+        out = ids[place]
+        return out, upto[begin]
+
+
+def plainer(texts: pa.Array) -> pa.Array:
+    """texts with fewer different chunks but the same ids: ASCII lower case, a final mark apart from its word.
+
+    Left alone are texts with combining marks, with which a capital may compose otherwise than its small
+    letter, and those with the start of a special token; and marks after anything but letters and digits.
     """
-    if chunk.isascii() or not any(lead in chunk for lead in (b"\xca", b"\xcc", b"\xcd")):
-        chunk = chunk.lower()
-    before = chunk[-2:-1]
-    if chunk[-1] in b".," and (before.isalnum() or chunk[-3:-2] == b"\xc3" and before not in (b"\x97", b"\xb7")):
-        return chunk[:-1]
-    return chunk
+    odd = pc.match_substring_regex(texts, r"[\x{0280}-\x{02bf}\x{0300}-\x{037f}]|<\|")
+    glued = pc.or_(odd, pc.match_substring_regex(texts, r"(?:^|[^\pL\pN])[.,] "))
+    low = pc.ascii_lower(texts)
+    apart = pc.replace_substring(pc.replace_substring(low, ". ", " . "), ", ", " , ")
+    return pc.if_else(odd, texts, pc.if_else(glued, low, apart))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1) -> DataFrame:
@@ -104,12 +127,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, last, size = process_wide("tokenizer", tokenizer, lambda: ChunkTokenizer(tokenizer)), np.array([end], "<u4").tobytes(), 4 * capacity
+        encoder, last, size = process_wide(f"tokenizer {tokenizer}", lambda: ChunkTokenizer(tokenizer)), np.array([end], "<u4").tobytes(), 4 * capacity
         for b in batches:
             rows = []
-            for doc, ids in zip(b["_id"].to_pylist(), encoder.encode(b["_t"].cast(pa.binary()).to_pylist()), strict=True):
-                ids += last
-                rows += [(doc, i, i * capacity, len(p) // 4, zlib.crc32(p)) for i in range(-(-len(ids) // size)) if (p := ids[i * size : (i + 1) * size])]
+            flat, begin = encoder.encode(b["_t"])
+            whole = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B")
+            for doc, x, y in zip(b["_id"].to_pylist(), (4 * begin[:-1]).tolist(), (4 * begin[1:]).tolist(), strict=True):
+                n = y - x + 4  # the end's id comes last
+                for i in range(-(-n // size)):
+                    z = min(x + (i + 1) * size, y + 4)
+                    crc = zlib.crc32(whole[x + i * size : min(z, y)])
+                    rows.append((doc, i, i * capacity, (z - x) // 4 - i * capacity, zlib.crc32(last, crc) if z > y else crc))
             doc, piece, start, length, crc = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["_id", "piece", "start", "length", "ids_crc32"])
 

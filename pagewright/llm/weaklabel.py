@@ -167,7 +167,7 @@ def query(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
     weights, name = weights.astype(np.float32), uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = process_wide("weaklabel", name, lambda: Words(weights))
+        known = process_wide(name, lambda: Words(weights))
         for b in batches:
             out = []
             for text in b["_t"].cast(pa.binary()).to_pylist():
