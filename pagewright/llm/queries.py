@@ -75,21 +75,36 @@ SELECT t.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_rem
 FROM t JOIN kept ON t.doc_id = kept.doc_id LEFT JOIN n ON t.doc_id = n.doc_id
 """
 
-# No page of these tables has a canonical link or a refresh, so the components are single nodes here.
+# The SQL follows link targets with a scheme or a host; pages of these tables have no others.
 OP4 = r"""
-WITH u AS (
-  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^(.*?)://([^/?#]*)([^?#]*)', 2), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+WITH RECURSIVE tags AS (
+  SELECT url, unnest(regexp_extract_all(regexp_replace(html, '<!--.*?(?:-->|$)', '', 'gs'), '<(?:link|meta)\b[^>]*>', 0, 'i')) AS tag
+  FROM pages WHERE regexp_matches(html, 'canonical|refresh', 'i')),
+hrefs AS (
+  SELECT url, regexp_replace(CASE
+    WHEN regexp_matches(tag, '^<link.*\brel\s*=\s*["'']?canonical\b', 'is') THEN regexp_extract(tag, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'i')
+    WHEN regexp_matches(tag, '^<meta.*\bhttp-equiv\s*=\s*["'']?refresh\b', 'is') THEN regexp_extract(tag, '\bcontent\s*=\s*["'']?\s*\d+\s*;\s*url\s*=\s*["'']?\s*([^"''\s>]+)', 1, 'i') END,
+    '&(?:amp|#38|#x26);', '&', 'gi') AS href FROM tags),
+links AS (SELECT url, CASE WHEN starts_with(href, '//') THEN 'http:' || href ELSE href END AS target FROM hrefs),
+all_urls AS (SELECT true AS page, page_id, url FROM pages UNION ALL SELECT DISTINCT false, NULL, target FROM links WHERE contains(target, '://')),
+u AS (
+  SELECT page, page_id, url, coalesce(translate(regexp_extract(url, '(?s)^(.*?)://([^/?#]*)([^?#]*)', 2), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^(.*?)://([^/?#]*)([^?#]*)', 3), '') AS path,
-    regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1), '/(\?|$)', '\1') AS rest, contains(url, '://') AS whole FROM pages),
+    regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1), '/(\?|$)', '\1') AS rest FROM all_urls),
 rules(action, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 m AS (
-  SELECT u.*, CASE WHEN whole THEN host || rest END AS node,
+  SELECT u.*, CASE WHEN contains(url, '://') THEN host || rest END AS node,
     (SELECT max_by(rhost || rpath, length(rhost || rpath)) FROM rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS rule,
     (SELECT max_by(action, length(rhost || rpath)) FROM rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS action
-  FROM u)
-SELECT page_id, host, path, rule,
-  coalesce(action, CASE WHEN bool_or(action = 'block') OVER (PARTITION BY node) AND NOT bool_or(action = 'allow') OVER (PARTITION BY node) AND node IS NOT NULL THEN 'block' END, 'allow') AS verdict
-FROM m
+  FROM u),
+edges AS (SELECT a.node AS a, b.node AS b FROM links l JOIN m a ON a.url = l.url JOIN m b ON b.url = l.target AND NOT b.page),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(node, peer) AS (SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.peer = e.a),
+parts AS (SELECT node, min(peer) AS part FROM reach GROUP BY node),
+named AS (SELECT m.*, coalesce(part, m.node) AS part FROM m LEFT JOIN parts ON parts.node = m.node),
+decided AS (SELECT part, bool_or(action = 'block') AND NOT bool_or(action = 'allow') AS blocked FROM named WHERE action IS NOT NULL GROUP BY part)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict
+FROM named LEFT JOIN decided ON decided.part = named.part WHERE page
 """
 
 _FILL = """CASE WHEN {cap} <= {lev} * {w} THEN {cap}
@@ -110,7 +125,8 @@ def _fill(name: str, parent: str) -> str:
 OP2 = rf"""
 WITH n AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_tokens,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS n_tokens,
     TRY_CAST(regexp_extract(coalesce(source, ''), '^src([0-9]{{1,9}})$', 1) AS INT) AS k FROM documents),
 d AS (SELECT doc_id, lang, source, n_tokens, CASE WHEN k = 0 THEN 'web' WHEN k <= 6 THEN 'forum' ELSE 'books' END AS domain FROM n),
 leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * 2 AS BIGINT) AS cap_source, 1 AS w_source,
