@@ -63,6 +63,7 @@ def _off(column: str) -> Column:
 
 def with_neighbours(blocks: DataFrame) -> DataFrame:
     """blocks with the previous and next block and the last heading level before; one sort a document."""
+    blocks = blocks.withColumn("text", F.coalesce("text", F.lit("")))  # null counts as empty
     w = Window.partitionBy("doc_id").orderBy("index")
     near = {f"{side}_{c}": f(c).over(w) for side, f in (("before", F.lag), ("after", F.lead)) for c in ("type", "kind", "real", "text")}
     last = F.last(F.when(_is("heading"), F.col("level")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))

@@ -12,7 +12,7 @@ from ..functions import patterns, text
 from ..operators.checks import CHECKS, with_neighbours
 from ..schema import Corpus
 from ..sources.plain import plain_blocks
-from . import report, run
+from . import reader_queries, report, run
 
 STRUCTURE = {"sections": [{"name": "Small", "accept": ["small ring", "SMALL bolt"]}, {"name": "red widget"}, {"name": "blue bolt"}, {"name": "Never there"}]}
 PATTERNS = patterns.compile_patterns(STYLES)
@@ -62,7 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"check_{c.replace('-', '_')}": (lambda s, d, c=c: issues(s, d, [c])) for c in CHECKS}
     both = lambda f: lambda s, d: f((c := corpus(s, d)).docs, run.run_checks(c, STRUCTURE))
     dense = lambda docs, i: run.dense_counts(docs, i).select("doc_id", *(F.col(f"`{c}`").alias(c.replace("-", "_")) for c in CHECKS))
-    return out | {
+    return out | reader_queries.queries() | {
         "run_checks": issues,
         "run_checks_altered_styles": lambda s, d: issues(s, d, styles=ALTERED),
         "issue_counts": lambda s, d: run.issue_counts(issues(s, d)),
@@ -77,7 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "text_functions": _block_function(lambda x: x.select("doc_id", "index", text.preview(F.col("text")).alias("preview"), text.normal_heading(F.col("text")).alias("heading"), text.starts_like_number(F.col("text")).alias("like_number"))),
         "neighbours": _block_function(lambda x: with_neighbours(x).select("doc_id", "index", "before_type", "after_type", "before_kind", "after_kind", "last_level")),
         "plain_text_blocks": lambda s, d: plain_blocks(s.read.parquet(f"{d}/documents.parquet"), PATTERNS).select("doc_id", "index", "type", "kind", "text"),
-        "ueq_scores": lambda s, d: run.ueq_scores(s.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("participant"), F.explode(F.array(F.struct(F.lit("pragmatic").alias("scale"), (F.col("l_suppkey") % 7 + 1).alias("answer")), F.struct(F.lit("hedonic").alias("scale"), (F.col("l_partkey") % 7 + 1).alias("answer")))).alias("a")).select("participant", "a.*")),
+        "ueq_scores": lambda s, d: run.ueq_scores(s.read.parquet(f"{d}/lineitem.parquet").select(F.concat_ws("-", "l_orderkey", F.floor((F.col("l_linenumber") - 1) / 4)).alias("participant"), F.explode(F.array(F.struct(F.lit("pragmatic").alias("scale"), (F.col("l_suppkey") % 7 + 1).alias("answer")), F.struct(F.lit("hedonic").alias("scale"), (F.col("l_partkey") % 7 + 1).alias("answer")))).alias("a")).select("participant", "a.*")),
     }
 
 
@@ -110,7 +110,7 @@ def _caption_sql(ord_: int, kind: str, side: str) -> str:
       CASE WHEN {fits(h)} THEN {h}p WHEN {fits(o)} THEN {o}p ELSE '' END AS text FROM n WHERE {where} AND NOT ({fits(h)} AND coalesce({h}r, false))"""
 
 
-def _issues_sql(first: int = 1, step: int = 1, table: str = "above", figure: str = "below", off: tuple[str, ...] = ()) -> str:
+def issues_sql(first: int = 1, step: int = 1, table: str = "above", figure: str = "below", off: tuple[str, ...] = ()) -> str:
     rows = [
         f"""SELECT doc_id, 0 AS check_ord, idx AS item_ord, 'Heading level ' || level || ' follows level ' || coalesce(pl, {first - 1}) || ', deeper than the allowed step of {step}.' AS message, idx AS block_index, pv AS text FROM n WHERE type = 'heading' AND level > coalesce(pl, {first - 1}) + {step}
         UNION ALL SELECT doc_id, 0, -1, 'No real heading styles found in the document; headings appear to be typed as ordinary text.', NULL, '' FROM d WHERE doc_id NOT IN (SELECT doc_id FROM b WHERE type = 'heading')""",
@@ -130,7 +130,7 @@ def _issues_sql(first: int = 1, step: int = 1, table: str = "above", figure: str
 
 
 def oracle_sql() -> dict[str, str]:
-    i, columns = _issues_sql(), 'doc_id, check_ord, item_ord, "check", message, block_index, text'
+    i, columns = issues_sql(), 'doc_id, check_ord, item_ord, "check", message, block_index, text'
     counts = ", ".join(f"count(*) FILTER (WHERE \"check\" = '{c}') AS {c.replace('-', '_')}" for c in CHECKS)
     label = r"'(?i)^[ ]*(table|tabelle|figure|abbildung)[ ]+[0-9]+'"
     item = r"'^[ ]*(?:[-•*·▪–][ ]+|[0-9]+[.)][ ]+|[a-z][.)][ ]+|(?:RQ)[0-9]+[.:)]?[ ]*)'"
@@ -140,9 +140,9 @@ def oracle_sql() -> dict[str, str]:
     out = {f"check_{c.replace('-', '_')}": f"{i} SELECT {columns} FROM i WHERE \"check\" = '{c}'" for c in CHECKS}
     checks_run = ",".join(f'"{c}"' for c in CHECKS)
     quote = lambda c: f"to_json({c})"
-    return out | {
+    return out | reader_queries.oracle_sql() | {
         "run_checks": f"{i} SELECT {columns} FROM i",
-        "run_checks_altered_styles": f"{_issues_sql(2, 2, 'below', 'above', ('toc-present', 'list-formatting'))} SELECT {columns} FROM i",
+        "run_checks_altered_styles": f"{issues_sql(2, 2, 'below', 'above', ('toc-present', 'list-formatting'))} SELECT {columns} FROM i",
         "issue_counts": f'{i} SELECT doc_id, "check", count(*) AS n FROM i GROUP BY ALL',
         "checks_fired": f"{i} SELECT doc_id, string_agg(DISTINCT \"check\", ',' ORDER BY \"check\") AS checks FROM i GROUP BY doc_id",
         "dense_counts": f"{i} SELECT d.doc_id, {counts} FROM d LEFT JOIN i ON d.doc_id = i.doc_id GROUP BY d.doc_id",
@@ -155,5 +155,5 @@ def oracle_sql() -> dict[str, str]:
         "text_functions": f"{i} SELECT doc_id, idx AS \"index\", pv AS preview, nm AS heading, regexp_matches(text, '^[ ]*[A-Za-z0-9]') AS like_number FROM t",
         "neighbours": f'{i} SELECT doc_id, idx AS "index", bt AS before_type, zt AS after_type, bk AS before_kind, zk AS after_kind, pl AS last_level FROM n',
         "plain_text_blocks": f"WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents), x AS (SELECT * FROM t WHERE text <> '') SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS \"index\", CASE WHEN regexp_matches(text, {label}) THEN 'caption' WHEN regexp_matches(text, {item}) THEN 'list_item' WHEN regexp_matches(text, {equation}) THEN 'equation' ELSE 'paragraph' END AS type, {kind} AS kind, text FROM x",
-        "ueq_scores": "SELECT l_orderkey AS participant, round(avg(l_suppkey % 7 + 1), 2) AS pragmatic, round(avg(l_partkey % 7 + 1), 2) AS hedonic FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1 HAVING count(*) = 4",
+        "ueq_scores": "SELECT l_orderkey || '-' || ((l_linenumber - 1) // 4) AS participant, round(avg(l_suppkey % 7 + 1), 2) AS pragmatic, round(avg(l_partkey % 7 + 1), 2) AS hedonic FROM lineitem GROUP BY 1 HAVING count(*) = 4",
     }

@@ -74,11 +74,12 @@ def dense_counts(docs: DataFrame, issues: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(wide, "doc_id", "left").na.fill(0)
 
 
-def status(docs: DataFrame, issues: DataFrame) -> DataFrame:
-    """doc_id, passed, n_issues, exit_status: 0 passed, 1 with issues."""
+def status(docs: DataFrame, issues: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """doc_id, passed, n_issues, exit_status: 0 passed, 1 with issues, 2 a file of errors that couldn't be read."""
     n = issues.groupBy("doc_id").agg(F.count("*").alias("n"))
     out = docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_issues"))
-    return out.select("doc_id", (F.col("n_issues") == 0).alias("passed"), "n_issues", F.when(F.col("n_issues") == 0, 0).otherwise(1).alias("exit_status"))
+    out = out.select("doc_id", (F.col("n_issues") == 0).alias("passed"), "n_issues", F.when(F.col("n_issues") == 0, 0).otherwise(1).alias("exit_status"))
+    return out if errors is None else out.unionByName(errors.select("doc_id", F.lit(False).alias("passed"), F.lit(0).cast("long").alias("n_issues"), F.lit(2).alias("exit_status")))
 
 
 def dashboard(docs: DataFrame, issues: DataFrame) -> DataFrame:

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame
 BLOCK = "index int, type string, text string, style_name string, level int, numbered boolean, numbering_optional boolean, kind string, real boolean, inline boolean"
 DOCS = "doc_id long, path string, format string, toc_present boolean, toc_anchors array<string>, heading_bookmarks array<string>"
 BLOCKS = "doc_id long, " + BLOCK
-ISSUES = "doc_id long, check_ord int, item_ord int, check string, message string, block_index int, text string"
+ERRORS = "doc_id long, path string, format string, error string"
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """docs (DOCS) and blocks (BLOCKS); doc_id and index order the blocks."""
+    """docs (DOCS) and blocks (BLOCKS), in the order of doc_id and index; errors (ERRORS): files that couldn't be read."""
 
     docs: DataFrame
     blocks: DataFrame
+    errors: DataFrame | None = None

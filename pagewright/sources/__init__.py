@@ -21,6 +21,7 @@ from .model import Document
 Reader = Callable[[bytes, object], Document]
 _readers: dict[str, Reader] = {}
 ROW = f"path string, format string, error string, toc_present boolean, toc_anchors array<string>, heading_bookmarks array<string>, blocks array<struct<{BLOCK.replace(' ', ':').replace(',:', ',')}>>"
+REFERENCES = "path string, main boolean, names array<string>"
 
 
 def register(extensions: tuple[str, ...], reader: Reader) -> None:
@@ -51,15 +52,16 @@ def _row(path: str, read: Callable[[], Document]) -> dict:
     return {"path": path, "format": form, "error": None} | asdict(d)
 
 
-def extracted(files: DataFrame, styles: dict | None = None) -> DataFrame:
+def extracted(files: DataFrame, styles: dict | None = None, kept: list[DataFrame] | None = None) -> DataFrame:
     """One row (ROW) for each of files (columns path, content); unsupported and broken ones have an error.
 
-    LaTeX files with a document class are documents; they may include any other file of `files` in their
-    own folder or below it, so LaTeX files are grouped by top folder below `files`' common use: the
-    folder of the path. All other formats are read where they lie.
+    LaTeX files with a document class are documents; what they include, however deep, is looked up among
+    `files` by path (latex.included), and a document's task gets its own includes only. All other formats
+    are read where they lie. kept: gets the frames that are persisted, for a caller that goes on to unpersist.
     """
+    kept = [] if kept is None else kept
     patterns, readers = compile_patterns(styles or STYLES), dict(_readers)
-    schema = to_arrow_schema(StructType.fromDDL(ROW))
+    schema, named = (to_arrow_schema(StructType.fromDDL(x)) for x in (ROW, REFERENCES))
 
     def reader(path: str) -> Reader | None:
         return readers.get(posixpath.splitext(path)[1].lower())
@@ -75,29 +77,41 @@ def extracted(files: DataFrame, styles: dict | None = None) -> DataFrame:
             rows = [one(p, c) for p, c in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+    def references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [c.decode("utf-8", "replace") for c in b["content"].to_pylist()]
+            rows = [(p, "\\documentclass" in t, sorted({*latex.included(t, p)})) for p, t in zip(b["path"].to_pylist(), texts, strict=True)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("path", "main", "names"), r, strict=True)) for r in rows], schema=named)
+
     def project(t: pa.Table) -> pa.Table:
+        main = t["main"][0].as_py()
         texts = {p: c.decode("utf-8", "replace") for p, c in zip(t["path"].to_pylist(), t["content"].to_pylist(), strict=True)}
-        rows = [_row(p, lambda p=p, s=s: latex.extract(latex.expanded(s, p, texts.get), patterns)) for p, s in texts.items() if "\\documentclass" in s]
-        return pa.Table.from_pylist(rows, schema=schema)
+        return pa.Table.from_pylist([_row(main, lambda: latex.extract(latex.expanded(texts[main], main, texts.get), patterns))], schema=schema)
 
     files = files.select("path", "content", F.lower(F.col("path")).endswith(".tex").alias("tex"))
     others = files.where("not tex").select("path", "content").mapInArrow(run, ROW)
-    # a project is the folder that holds a file with a document class; files below belong to it
-    tex = files.where("tex").withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
-    mains = tex.where(F.col("content").cast("string").contains("\\documentclass")).select(F.col("folder").alias("root")).distinct()
-    parts = F.split("folder", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    owned = tex.withColumn("root", F.explode(above)).join(mains, "root")
-    own_main = owned.groupBy("root").applyInArrow(lambda t: project(t), ROW)
-    # a main file in a sub-folder of another project would come once for each: its own folder counts
-    return others.unionByName(own_main.dropDuplicates(["path"]))
+    tex = files.where("tex").select("path", "content")
+    known = tex.mapInArrow(references, REFERENCES).persist()
+    kept.append(known)
+    links = known.select(F.col("path").alias("from"), F.explode("names").alias("path")).join(known.select("path"), "path", "left_semi")
+    step = known.where("main").select(F.col("path").alias("main"), "path")
+    needed = step
+    while True:
+        step = step.withColumnRenamed("path", "from").join(links, "from").select("main", "path").join(needed, ["main", "path"], "left_anti").distinct().persist()
+        kept.append(step)
+        if step.isEmpty():
+            break
+        needed = needed.unionByName(step)
+    return others.unionByName(needed.join(tex, "path").groupBy("main").applyInArrow(lambda t: project(t), ROW))
 
 
 def corpus_of(rows: DataFrame) -> Corpus:
-    """Corpus of extracted rows; doc_id is the 64-bit hash of the path, errors are left out."""
-    good = rows.where("error is null").withColumn("doc_id", F.xxhash64("path"))
+    """Corpus of extracted rows; doc_id is the 64-bit hash of the path; files with an error are listed apart."""
+    rows = rows.withColumn("doc_id", F.xxhash64("path"))
+    good = rows.where("error is null")
     docs = good.select("doc_id", "path", "format", "toc_present", "toc_anchors", "heading_bookmarks")
-    return Corpus(docs, good.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*"))
+    blocks = good.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
+    return Corpus(docs, blocks, rows.where("error is not null").select("doc_id", "path", "format", "error"))
 
 
 def read_corpus(spark: SparkSession, path: str, styles: dict | None = None) -> Corpus:

@@ -8,10 +8,11 @@ import re
 import zipfile
 from xml.etree import ElementTree as ET
 
-from .model import Document
+from .model import Document, first_along
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
+# Fixed value: the field that numbers captions.
 SEQ = re.compile(r"SEQ\s+(\w+)")
 
 
@@ -28,16 +29,18 @@ class Styles:
 
     def value(self, paragraph: ET.Element, path: str) -> str | None:
         """The value at path of the paragraph's properties, or of the first style in its chain that has it."""
-        own = paragraph.find(f"{W}pPr/{path}")
-        style, seen = style_id(paragraph), set()
-        while own is None and style in self.by_id and style not in seen:
-            seen.add(style)
-            own = self.by_id[style].find(f"{W}pPr/{path}")
-            base = self.by_id[style].find(W + "basedOn")
-            style = base.get(W + "val") if base is not None else None
+        there = lambda e: e.find(f"{W}pPr/{path}")
+        own = there(paragraph)
+        if own is None:
+            own = first_along(style_id(paragraph), self.by_id, _base, there)
         return own.get(W + "val") if own is not None else None
 
 
+def _base(style: ET.Element) -> str | None:
+    found = style.find(W + "basedOn")
+    return found.get(W + "val") if found is not None else None
+
+
 def style_id(paragraph: ET.Element) -> str | None:
     found = paragraph.find(f"{W}pPr/{W}pStyle")
     return found.get(W + "val") if found is not None else None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -24,8 +25,10 @@ TABULARS = {"tabular", "tabular*", "tabularx", "longtable", "array"}
 CODE = set("verbatim verbatim* lstlisting minted Verbatim alltt listing code".split())
 SKIPPED = set("label centering newpage clearpage pagebreak noindent vspace hspace maketitle index".split())
 INCLUDE = re.compile(r"\\(?:input|include)(?![a-zA-Z])\s*\{([^}]*)\}")
+ROOT = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?/*")
 COMMAND = re.compile(r"\\([a-zA-Z@]+)(\*?)|\\(.)", re.DOTALL)
-BREAK = "\n\n"
+#: Levels of nesting that a document may have, about.
+DEEPEST = 100_000
 
 
 @dataclass
@@ -46,10 +49,11 @@ class Parser:
     def nodes(self, stop: str | None = None) -> list[Node]:
         """Nodes up to stop: a closing character, or the name of the environment that is open."""
         out: list[Node] = []
+        outer: list[list[Node]] = []  # of the groups that are open
         s = self.s
         while self.i < len(s):
             c = s[self.i]
-            if c == stop and len(stop) == 1 and stop in "}]":
+            if c == stop and len(stop) == 1 and stop in "}]" and not (outer and c == "}"):
                 self.i += 1
                 break
             if c == "%":
@@ -57,9 +61,13 @@ class Parser:
                 self.i = len(s) if end < 0 else end + 1
             elif c == "{":
                 self.i += 1
-                out.append(Node("group", body=self.nodes("}")))
+                group = Node("group")
+                out.append(group)
+                outer.append(out)
+                out = group.body
             elif c == "}":
                 self.i += 1
+                out = outer.pop() if outer else out
             elif c == "$":
                 out.append(self._math("$$" if s.startswith("$$", self.i) else "$"))
             elif c == "\\":
@@ -71,7 +79,7 @@ class Parser:
                 m = re.compile(r"[^%{}$\\\]]+|\]").match(s, self.i)
                 self.i = m.end()
                 out.append(Node("text", text=m[0]))
-        return out
+        return outer[0] if outer else out
 
     def _math(self, mark: str, close: str | None = None, name: str | None = None) -> Node:
         start = self.i + len(mark)
@@ -126,7 +134,8 @@ class Parser:
             text = self.s[self.i : end if end >= 0 else len(self.s)]
             self.i += len(text) + len(close)
             return Node("environment" if name in CODE else "math", "$" if name == "math" else name, text)
-        args = [] if name == "document" else list(self._arguments("env"))
+        # a group that follows a list's begin is its content
+        args = [] if name == "document" else list(self._arguments("item" if name in LISTS else "env"))
         return Node("environment", name, args=args, body=self.nodes(name))
 
 
@@ -153,14 +162,44 @@ def every(nodes: list[Node]) -> Iterator[Node]:
         yield from every(n.body)
 
 
+def ungrouped(nodes: list[Node]) -> Iterator[Node]:
+    """nodes, with those of a group that has items in its place."""
+    for n in nodes:
+        if n.kind == "group" and any(x.name == "item" for x in n.body):
+            yield from ungrouped(n.body)
+        else:
+            yield n
+
+
+def outermost_lists(nodes: list[Node]) -> Iterator[Node]:
+    for n in nodes:
+        if n.kind == "environment" and n.name in LISTS:
+            yield n
+        else:
+            yield from outermost_lists(n.args)
+            yield from outermost_lists(n.body)
+
+
+def beside(folder: str, name: str) -> str:
+    """The path of the file that a document in folder includes by name; a scheme and host stay as they are."""
+    root = ROOT.match(folder)[0]
+    inside = folder[len(root) :]
+    full = posixpath.normpath("/" + posixpath.join(inside, name if posixpath.splitext(name)[1] else name + ".tex").lstrip("/"))
+    return root + ("/" if folder and folder == root.rstrip("/") else "") + full[1:]
+
+
+def included(source: str, path: str) -> list[str]:
+    """Paths that source names in includes, whether or not there are such files."""
+    return [beside(posixpath.dirname(path), m[1].strip()) for m in INCLUDE.finditer(source)]
+
+
 def expanded(source: str, path: str, read: Callable[[str], str | None]) -> str:
     """source with included files in place, each once; read gives a path's text or None."""
-    seen = {posixpath.normpath(path)}
+    seen = {path}
 
     def put(text: str, base: str) -> str:
         def one(m: re.Match) -> str:
-            name = m[1].strip()
-            target = posixpath.normpath(posixpath.join(base, name if posixpath.splitext(name)[1] else name + ".tex"))
+            target = beside(base, m[1].strip())
             if target in seen:
                 return ""
             found = read(target)
@@ -278,14 +317,14 @@ class Walker:
             self.buffer.append(flat([n]))
 
     def items(self, nodes: list[Node]) -> None:
-        """Each item with all its text; items of lists inside it follow it."""
-        at = [i for i, n in enumerate(nodes) if n.kind == "command" and n.name == "item"]
-        for a, z in zip(at, [*at[1:], len(nodes)], strict=True):
-            self.out.add("list_item", clean(flat(nodes[a].args) + " " + flat([x for x in nodes[a + 1 : z] if x.name != "item"])), real=True)
-            for x in every(nodes[a + 1 : z]):
-                if x.kind == "environment" and x.name in LISTS:
-                    self.items(x.body)
-                    break
+        """Each item with all its text; items of lists inside it, however many, follow it."""
+        held = list(ungrouped(nodes))
+        at = [i for i, n in enumerate(held) if n.kind == "command" and n.name == "item"]
+        for a, z in zip(at, [*at[1:], len(held)]):  # noqa: B905  without items there is no first
+            inside = held[a + 1 : z]
+            self.out.add("list_item", clean(flat(held[a].args) + " " + flat([x for x in inside if x.name != "item"])), real=True)
+            for x in outermost_lists(inside):
+                self.items(x.body)
 
     def finish(self) -> Document:
         self.flush()
@@ -303,6 +342,16 @@ class Walker:
 
 
 def extract(source: str, patterns) -> Document:
+    """The document of a main file's text with its includes in place; nesting may be as deep as DEEPEST."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, DEEPEST))
+    try:
+        return _extract(source, patterns)
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def _extract(source: str, patterns) -> Document:
     tree = Parser(source).nodes()
     walker = Walker(tree, patterns)
     for n in tree:

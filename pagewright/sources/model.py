@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from typing import TypeVar
+
+Style, Value = TypeVar("Style"), TypeVar("Value")
 
 
 @dataclass
@@ -36,5 +40,11 @@ class Document:
         type_, kind = patterns.typed(text)
         return self.add(type_, text, kind=kind, real=None if type_ == "paragraph" else False, **more)
 
-    def as_row(self) -> dict:
-        return asdict(self)
+
+def first_along(start: str | None, styles: dict[str, Style], parent: Callable[[Style], str | None], value: Callable[[Style], Value | None]) -> Value | None:
+    """The first value there is on the way from a style to what it goes back to; a loop ends the way."""
+    way: dict[str, Style] = {}
+    while start in styles and start not in way:
+        way[start] = styles[start]
+        start = parent(styles[start])
+    return next((found for style in way.values() if (found := value(style)) is not None), None)

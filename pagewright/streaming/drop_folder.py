@@ -15,7 +15,12 @@ def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, structure
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
 
     def batch(rows: DataFrame, number: int) -> None:
-        corpus = corpus_of(extracted(rows.select("path", "content"), styles).persist())
-        run_checks(corpus, structure, styles).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        kept: list[DataFrame] = []
+        try:
+            kept.append(extracted(rows.select("path", "content"), styles, kept).persist())
+            run_checks(corpus_of(kept[-1]), structure, styles).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        finally:
+            for frame in kept:
+                frame.unpersist()
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -12,7 +12,7 @@ from pagewright.schema import BLOCKS, DOCS, Corpus
 SECTIONS = {"sections": [{"name": "Introduction", "accept": ["introduction", "einleitung"]}, {"name": "Methodology"}, {"name": "Results"}]}
 
 
-def H(level=1, text="A Heading", numbered=True, optional=False):
+def H(level=1, text="Some Title", numbered=True, optional=False):
     return ("heading", text, level, numbered, optional, None, None, False)
 
 
@@ -130,3 +130,10 @@ def test_typed_patterns():
     assert p.typed("Figure 3 shows that") == ("caption", "figure") and p.typed("Tabelle 2") == ("caption", "table")
     assert [p.typed(t)[0] for t in ("Table1", "RQ2: why", "- x", "a) x", "A) x", "p = 0.05", "a = b * c", "x + y = z")] == ["paragraph", "list_item", "list_item", "list_item", "paragraph", "paragraph", "equation", "equation"]
     assert compile_patterns(merge(STYLES, {"lists": {"labels": ["H"]}})).typed("H1: we expect")[0] == "list_item"
+
+
+def test_null_texts_count_as_empty(spark):
+    blocks = [("heading", None, 1, False, False, None, None, False), ("list_item", None, None, False, False, None, False, False), ("equation", None, None, False, False, None, False, False)]
+    got = found(spark, [(blocks, {})])[0]
+    assert [r.text for c in ("heading-numbering", "list-formatting", "equation-format") for r in got[c]] == ["", "", ""]
+    assert got["heading-numbering"][0].message == "Heading '' is not automatically numbered."

@@ -9,8 +9,8 @@ import pytest
 from pagewright import cli
 from pagewright.config import STYLES
 from pagewright.functions.patterns import compile_patterns
-from pagewright.plans import run
-from pagewright.sources import corpus_of, docx, extracted, extractor_for, latex, odt, read_corpus, supported_extensions
+from pagewright.plans import run, study
+from pagewright.sources import conversations, corpus_of, docx, extracted, extractor_for, html, latex, odt, read_corpus, supported_extensions
 from pagewright.streaming.drop_folder import watch
 
 P = compile_patterns(STYLES)
@@ -44,12 +44,12 @@ def test_levels(cls, body, want):
 
 
 def test_latex_paragraphs_lists_and_floats():
-    d = tex("\\paragraph{RQ1: why} because\n\nRQ1: typed\n\nRQ2: typed\n\n\\begin{itemize}\\item one \\item[x] two\\end{itemize}")
+    d = tex("\\paragraph{RQ1: when} because\n\nRQ1: typed\n\nRQ2: typed\n\n\\begin{itemize}\\item one \\item[x] two\\end{itemize}")
     assert types(d) == ["paragraph", "list_item", "list_item", "list_item", "list_item"] and [b.real for b in d.blocks] == [None, False, False, True, True]
-    d = tex(r"\begin{table*}\caption{T}\centering\begin{tabular}{ll}a&b\end{tabular}\end{table*}\begin{figure*}[t]\includegraphics[width=\textwidth]{f.png}\caption{Architecture of the \textbf{CNN} model~\cite{x}}\end{figure*}")
+    d = tex(r"\begin{table*}\caption{T}\centering\begin{tabular}{ll}a&b\end{tabular}\end{table*}\begin{figure*}[t]\includegraphics[width=\textwidth]{f.png}\caption{Stages of the \emph{sorting} line~\cite{x}}\end{figure*}")
     assert [(b.type, b.kind) for b in d.blocks] == [("caption", "table"), ("table", None), ("figure", None), ("caption", "figure")]
-    assert d.blocks[3].text == "Architecture of the CNN model"
-    d = tex("% \\section{no}\n\\begin{lstlisting}\na = b * c % $\n\\end{lstlisting}\nF1 = 2 * P * R / (P + R)\n\nsee $x$ here\n\n\\[y\\]\\begin{align}z\\end{align}\\includegraphics{a.png}\n\nPrice 5\\% \\unknown{kept}")
+    assert d.blocks[3].text == "Stages of the sorting line"
+    d = tex("% \\section{no}\n\\begin{lstlisting}\na = b * c % $\n\\end{lstlisting}\nv = s / t * 3\n\nsee $x$ here\n\n\\[y\\]\\begin{align}z\\end{align}\\includegraphics{a.png}\n\nPrice 5\\% \\unknown{kept}")
     assert [(b.type, b.real) for b in d.blocks] == [("equation", False), ("equation", True), ("equation", True), ("equation", True), ("figure", None), ("paragraph", None)]
     assert d.blocks[-1].text == "Price 5% kept"
     d = tex("\\begin{titlepage}\\vspace{2cm}\\includegraphics[width=3cm]{a/b=c.png}\\end{titlepage}")
@@ -80,9 +80,9 @@ def odf(body, styles=""):
 
 def test_odt_text_and_numbering():
     seen = lambda x: odt.visible_text(odf(x)[1][0])
-    assert seen("<text:h>1<text:tab/>Introduction</text:h>") == "1 Introduction"
-    assert seen("<text:p><draw:frame><svg:desc>An image</svg:desc></draw:frame></text:p>") == ""
-    assert seen("<text:p>One <text:span>nested <text:span>span</text:span></text:span>.</text:p>") == "One nested span."
+    assert seen("<text:h>4<text:tab/>Outlook</text:h>") == "4 Outlook"
+    assert seen("<text:p><draw:frame><svg:desc>a photograph</svg:desc></draw:frame></text:p>") == ""
+    assert seen("<text:p>Two <text:span>spans <text:span>deep</text:span></text:span>!</text:p>") == "Two spans deep!"
     on = '<text:outline-level-style text:level="1" style:num-format="1"/>'
     off = on.replace('"1"/>', '""/>')
     style = lambda n, more="": f'<style:style style:name="{n}" {more}/>'
@@ -188,3 +188,76 @@ def test_corpus_cli_and_stream(spark, tmp_path, capsys):
 
 def test_registry():
     assert supported_extensions() == [".docx", ".odt", ".tex"] and extractor_for("a/B.DOCX") and extractor_for("a.pdf") is None
+
+
+def test_lists_of_any_shape():
+    texts = lambda body: [b.text for b in tex(body).blocks]
+    assert texts(r"\begin{itemize}\end{itemize}") == []
+    assert texts(r"\begin{itemize}\item a\begin{itemize}\item b\end{itemize}\begin{enumerate}\item c\item d\end{enumerate}\item e\end{itemize}") == ["a b c d", "b", "c", "d", "e"]
+    assert texts(r"\begin{enumerate}[i]{\small \item p \item q}\item r\end{enumerate}") == ["p", "q", "r"]
+
+
+def test_deep_nesting():
+    assert [b.text for b in tex("{" * 3000 + "deep" + "}" * 3000).blocks] == ["deep"]
+    assert [b.text for b in tex(r"\textbf{" * 3000 + "deep" + "}" * 3000).blocks] == ["deep"]
+
+
+@pytest.mark.parametrize("root", ["hdfs://nn:8020/p", "s3a://bucket", "file:/p", "file:///p", "/p", "p"])
+def test_include_paths(root):
+    files = {f"{root}/sub/b.tex": r"\section{B}\input{../c}", f"{root}/c.tex": r"\section{C}"}
+    main = r"\documentclass{article}\begin{document}\input{sub/b}\end{document}"
+    assert latex.included(main, f"{root}/main.tex") == [f"{root}/sub/b.tex"]
+    assert [b.text for b in latex.extract(latex.expanded(main, f"{root}/main.tex", files.get), P).blocks] == ["B", "C"]
+
+
+def test_each_main_file_gets_its_own_includes(spark):
+    main = lambda *names: r"\documentclass{article}\begin{document}" + "".join(rf"\input{{{n}}}" for n in names) + r"\end{document}"
+    files = {f"/flat/m{i}.tex": main(f"part{i}", "shared") for i in range(5)} | {f"/flat/part{i}.tex": rf"\section{{Part {i}}}" for i in range(5)}
+    files |= {"/flat/shared.tex": r"\input{deep/one}", "/flat/deep/one.tex": r"\input{two}", "/flat/deep/two.tex": r"\section{Two}\input{one}", "/flat/deep/own.tex": main("two", "../part0")}
+    rows = extracted(spark.createDataFrame([(p, t.encode()) for p, t in files.items()], "path string, content binary"))
+    got = {r.path: [b.text for b in r.blocks] for r in rows.collect()}
+    assert got == {f"/flat/m{i}.tex": [f"Part {i}", "Two"] for i in range(5)} | {"/flat/deep/own.tex": ["Two", "Part 0"]}
+
+
+def test_unread_files_have_status_two(spark):
+    rows = extracted(spark.createDataFrame([("/a.docx", word()), ("/b.odt", b"none"), ("/c.txt", b"x")], "path string, content binary"))
+    c = corpus_of(rows)
+    got = run.status(c.docs, run.run_checks(c), c.errors).join(c.docs.select("doc_id", "path").unionByName(c.errors.select("doc_id", "path")), "doc_id")
+    assert {r.path: r.exit_status for r in got.collect()} == {"/a.docx": 1, "/b.odt": 2, "/c.txt": 2}
+    assert {r.path: r.error.split(":")[0] for r in c.errors.collect()} == {"/b.odt": "BadZipFile", "/c.txt": "unsupported"}
+
+
+def test_odt_outline_is_that_of_the_styles_file():
+    on = '<text:outline-level-style text:level="1" style:num-format="1"/>'
+    assert odt.Styles(odf("", on), odf("")).numbered(None, "1") and not odt.Styles(odf(""), odf("", on)).numbered(None, "1")
+
+
+def test_html_and_conversations(spark):
+    page = """<head><title>no</title></head><nav><a href="#one">One</a></nav><H2 id=one>One &amp; <b>all</b></h2><p>a<br>b<!-- c --><img src=x> beside
+<table><caption>Rows</caption><tr><td>cell</td></tr></table><figure><img src=y><figcaption>A view</figcaption></figure><math>x</math><li>item<li>- two<p>Table 3: typed</p><script>no()</script>"""
+    c = html.html_corpus(spark.createDataFrame([(1, "http://x/", page), (2, None, None), (3, "u", "")], "page_id long, url string, html string"), P)
+    got = [(r.type, r.text, r.level, r.kind, r.real, r.inline) for r in c.blocks.orderBy("index").collect()]
+    assert got == [
+        ("heading", "One & all", 2, None, None, False), ("paragraph", "a b", None, None, None, False), ("figure", "beside", None, None, None, True), ("table", "", None, None, None, False),
+        ("caption", "Rows", None, "table", True, False), ("figure", "", None, None, None, False), ("caption", "A view", None, "figure", True, False), ("equation", "x", None, None, True, False),
+        ("list_item", "item", None, None, True, False), ("list_item", "- two", None, None, True, False), ("caption", "Table 3: typed", None, "table", False, False),
+    ]
+    assert {r.doc_id: (r.toc_present, r.toc_anchors, r.heading_bookmarks) for r in c.docs.collect()}[1] == (True, ["one"], ["one"])
+    turns = spark.createDataFrame([(7, 1, "bot", "- yes"), (7, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    assert [(r["index"], r.type, r.text, r.style_name, r.real) for r in conversations.conversation_blocks(turns, P).orderBy("index").collect()] == [(0, "paragraph", "", "user", None), (1, "list_item", "- yes", "bot", False)]
+
+
+def test_study_rows_are_appended(spark, tmp_path):
+    import datetime
+
+    c = corpus_of(extracted(spark.createDataFrame([("/in/a.docx", word())], "path string, content binary")))
+    doc = c.docs.first().doc_id
+    sessions = spark.createDataFrame([("P1", doc, datetime.datetime(2020, 1, 2, 3, 4)), ("P2", doc, datetime.datetime(2020, 1, 2, 3, 4))], "participant string, doc_id long, time timestamp")
+    answers = spark.createDataFrame([(p, i, 1 + i % 7) for p, n in (("P1", 8), ("P2", 7)) for i in range(n)], "participant string, item int, answer int")
+    rows = study.study_rows(sessions, c.docs, run.run_checks(c), answers)
+    for _ in range(2):
+        study.append_rows(rows, str(tmp_path / "sheet"))
+    out = spark.read.option("header", True).csv(str(tmp_path / "sheet"))
+    assert out.columns == study.columns() and out.count() == 2
+    r = out.first()
+    assert (r["Time"], r["Participant ID"], r["File name"], r["Pragmatic Quality (1-7)"], r["Hedonic Quality (1-7)"]) == ("2020-01-02 03:04 UTC", "P1", "a.docx", "2.5", "4.75")
