@@ -18,14 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, doc_id, keyed, process_wide
+from ._shared import Remembered, bounded_batches, coded_words, doc_id, keyed, process_wide, text_sums
 
 #: About so many rows, picked by hash, train the scorer.
 TRAINING_ROWS = 4000
+#: Features of one training row that reach the driver: those of its words, evenly spaced, if it has more.
+TRAINING_WORDS = 5000
+#: Words whose weights a Python worker remembers in either of two generations.
+REMEMBERED = 150_000
 BITS = 18
 SIGNS = re.compile(rb"[#$%&*|<>{}=_^~\\@]")
 REPEATED = re.compile(rb"([#$%&*|<>{}=_^~\\@!?])\1\1")
 LONE = re.compile(rb"(?<=[ \n])[|/\\*~=+:;#<>-]+(?=[ \n])")
+RUNS = re.compile(rb"(.)\1+")
 DIGITS = b"0123456789"
 NOT_LETTERS = bytes(set(range(128)) - set(range(65, 91)) - set(range(97, 123)))
 UPPER = bytes(range(65, 91))
@@ -90,8 +95,9 @@ def features(word: bytes) -> tuple[int, int, int]:
     """Hashed places of a word, of its shape and of its last three bytes."""
     from xxhash import xxh32_intdigest
 
-    shape = re.sub(rb"(.)\1+", rb"\1", word.translate(SHAPE))
-    return tuple(xxh32_intdigest(x, 3) & (2**BITS - 1) for x in (b"w" + word.lower(), b"s" + shape, b"e" + word[-3:].lower()))
+    shape = RUNS.sub(rb"\1", word.translate(SHAPE))
+    last = 2**BITS - 1
+    return xxh32_intdigest(b"w" + word.lower(), 3) & last, xxh32_intdigest(b"s" + shape, 3) & last, xxh32_intdigest(b"e" + word[-3:].lower(), 3) & last
 
 
 SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
@@ -115,18 +121,18 @@ def train(rows: list[tuple[bytes, float]], passes: int = 8, rate: float = 0.5) -
     return w, bias
 
 
-class Words(dict):
-    """The weight of each word, as far as there is room."""
+class Scorer:
+    """Scores of texts by the mean weight of their words, which are remembered."""
 
-    def __init__(self, weights: np.ndarray, most: int = 300_000) -> None:
-        super().__init__()
-        self.weights, self.most = weights, most
+    def __init__(self, weights: np.ndarray, bias: float, remembered: int = REMEMBERED) -> None:
+        self.bias = bias
+        self.weight = Remembered(lambda words: weights[np.array([features(w.encode()) for w in words], np.int64).reshape(-1, 3)].sum(axis=1).tolist(), remembered)
 
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= self.most:
-            self.clear()
-        out = self[word] = float(sum(self.weights[i] for i in features(word)))
-        return out
+    def score(self, texts: pa.Array) -> np.ndarray:
+        names, at, begin = coded_words(texts)
+        n = text_sums(np.array([bool(x) for x in names], np.int64)[at], begin)
+        z = text_sums((np.array(self.weight(names)) * np.array([bool(x) for x in names]))[at], begin) / np.maximum(n, 1) + self.bias
+        return np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
 
 def query(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
@@ -134,8 +140,9 @@ def query(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
 
     posterior is the weak label's; score the linear scorer's, 0 to 1, from all words of the text; keep is
     score >= 0.5. Null text and text without words score 0 and aren't kept. Vote patterns are counted over
-    all rows; about training_rows rows, those with the smallest hash, train the scorer. Repeated rows give
-    equal results; an empty table gives an empty result.
+    all rows; about training_rows rows, those with the smallest hash, train the scorer by TRAINING_WORDS
+    words at most each, so what reaches the driver is bounded. Repeated rows give equal results; votes and
+    scores read very long texts whole; an empty table gives an empty result.
     """
     rows = keyed(docs)
 
@@ -151,31 +158,28 @@ def query(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
     posterior, _ = estimate({tuple(map(int, r.pattern.split())): r.n for r in counts})
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Remembered(lambda words: map(features, words), REMEMBERED)
         for b in batches:
-            out, places = [], {}
+            out = []
             for text in b["_t"].cast(pa.binary()).to_pylist():
                 words = text.split()
-                if len(places) < 100_000:
-                    places |= {x: features(x) for x in {*words} if x not in places}
-                out.append((np.array([places.get(x) or features(x) for x in words], np.int32).tobytes(), posterior.get(votes(text), 0.5)))
+                words = words[:: -(-len(words) // TRAINING_WORDS) or 1]
+                different = [*dict.fromkeys(words)]
+                found = dict(zip(different, places(different), strict=True))
+                out.append((np.array([found[x] for x in words], np.int32).tobytes(), posterior.get(votes(text), 0.5)))
             f, p = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array(p, pa.float64())], names=["f", "p"])
 
     share = min(1.0, training_rows / max(1, total))
     sample = rows.where(F.pmod(F.xxhash64("_id", "_h", F.lit(3)), F.lit(2**31)) < share * 2**31)
-    weights, bias = train([tuple(map(lambda x: bytes(x) if isinstance(x, bytearray) else x, r)) for r in sample.mapInArrow(pack, "f binary, p double").orderBy("p", "f").collect()])
+    weights, bias = train(sorted((bytes(r.f), r.p) for r in sample.mapInArrow(pack, "f binary, p double").collect()))
     weights, name = weights.astype(np.float32), uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = process_wide(name, lambda: Words(weights))
+        scorer = process_wide(name, lambda: Scorer(weights, bias))
         for b in batches:
-            out = []
-            for text in b["_t"].cast(pa.binary()).to_pylist():
-                words = text.split()
-                z = sum(map(known.__getitem__, words)) / len(words) + bias if words else -50.0
-                out.append((posterior.get(votes(text), 0.5), float(1 / (1 + np.exp(-np.clip(z, -30, 30)))) if words else 0.0))
-            p, s = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([b["_id"], pa.array(p, pa.float64()), pa.array(s, pa.float64())], names=["_id", "posterior", "score"])
+            p = [posterior.get(votes(t), 0.5) for t in b["_t"].cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["_id"], pa.array(p, pa.float64()), pa.array(scorer.score(b["_t"]))], names=["_id", "posterior", "score"])
 
     out = rows.mapInArrow(score, "_id long, posterior double, score double")
     return out.select(doc_id(), "posterior", "score", (F.col("score") >= 0.5).alias("keep"))

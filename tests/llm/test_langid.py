@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -28,9 +29,9 @@ def test_held_out_accuracy_and_split(spark):
 
 def test_backs_off_to_shorter_grams():
     m = langid.Model([(0, "haus", "de", 5), (0, "house", "en", 5), (3, "sch", "de", 9), (3, "sch", "en", 1), (1, "w", "en", 5), (1, "w", "de", 1), (5, "tions", "en", 4), (5, "ungen", "de", 4), (1, "x", "de", 20)])
-    pick = lambda w: m.languages[int(m.word(w).argmax())]
+    pick = lambda w: m.languages[int(m.scores([w])[0].argmax())]
     assert [pick("haus"), pick("house"), pick("schule"), pick("w"), pick("nations")] == ["de", "en", "de", "en", "en"]
-    assert not m.word("???").any()
+    assert not m.scores(["???"]).any()
 
 
 def test_edge_cases(spark):
@@ -48,8 +49,60 @@ def test_edge_cases(spark):
     assert not kept & {500, 501, 502} and {None, 503} <= kept
 
 
-def test_words_beyond_the_table():
+def test_words_beyond_what_is_remembered():
+    import pyarrow as pa
+
     m = langid.Model([(0, "haus", "de", 5), (0, "house", "en", 5), (1, "h", "de", 1), (1, "h", "en", 1)])
-    small = langid.Scorer(m, most=3)
-    for text in ("haus haus x", "house a b c d e f", "haus " * 10):
-        assert small.predict(text)[0] == langid.Scorer(m).predict(text)[0]
+    small, texts = langid.Scorer(m, remembered=1), ["haus haus x", "house a b c d e f", " haus " * 10, "", None, "7"]
+    for _ in range(2):
+        for part in (texts[:2], texts[2:4], texts[4:]):
+            (a, x), (b, y) = small.predict(pa.array(part, pa.string())), langid.Scorer(m).predict(pa.array(part, pa.string()))
+            assert a.equals(b) and x.tolist() == y.tolist()
+
+
+def slow(rows):
+    """lang_pred and score of each row, word by word and gram by gram."""
+    counts, total, size = {}, {}, {}
+    for d, text, lang in rows:
+        if d is None or text is None or lang is None or zlib.crc32(str(d).encode()) % 5 == 0:
+            continue
+        for w in langid.LETTERS.findall(text.lower()):
+            e = f"^{w}$"
+            for key in [(0, w)] + [(n, e[i : i + n]) for n in range(1, 6) for i in range(len(e) - n + 1)]:
+                by = counts.setdefault(key, {})
+                by[lang] = by.get(lang, 0) + 1
+                total[key[0], lang] = total.get((key[0], lang), 0) + 1
+    for kind, _ in counts:
+        size[kind] = size.get(kind, 0) + 1
+    languages = sorted({x for by in counts.values() for x in by})
+    log = lambda key, x: math.log((counts[key].get(x, 0) + 0.5) / (total.get((key[0], x), 0) + 0.5 * size[key[0]]))
+    out = []
+    for _, text, _ in rows:
+        words, sums = langid.LETTERS.findall((text or "").lower()), dict.fromkeys(languages, 0.0)
+        for w in words:
+            keys, e = [(0, w)] if (0, w) in counts else [], f"^{w}$"
+            for n in range(5, 0, -1):
+                keys = keys or [(n, e[i : i + n]) for i in range(len(e) - n + 1) if (n, e[i : i + n]) in counts]
+            for x in languages if keys else []:
+                sums[x] += sum(log(k, x) for k in keys) / len(keys)
+        if not words:
+            out.append(("und", 0.0))
+            continue
+        p = {x: math.exp(v / len(words) * min(len(words), 20)) for x, v in sums.items()}
+        best = max(languages, key=lambda x: p[x])
+        out.append((best, p[best] / sum(p.values())))
+    return out
+
+
+def test_equals_brute_force(spark):
+    rows = [*corpus(120), (300, None, "aa"), (301, "9 .", "bb"), (302, "XUNDER theOUX", None), (None, "ing schßß", "cc"), (303, "the " * 3000, "aa")]
+    got = langid.query(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    want = sorted(zip((str(r[0]) for r in rows), slow(rows), strict=True))
+    for (d, (lang, score)), r in zip(want, sorted(got, key=lambda r: str(r.doc_id)), strict=True):
+        assert (d, lang) == (str(r.doc_id), r.lang_pred) and abs(score - r.score) < 1e-4
+
+
+def test_each_language_keeps_its_features(spark):
+    rows = [(i, " ".join("".join(x) for x in zip("abcdefgh", "ijklmnop" * 2)) * 9, "aa") for i in range(200)] + [(1000 + i, "qxyz wvut", "zz") for i in range(12)]
+    m = langid.learn(spark.createDataFrame(rows, SCHEMA), features=30)
+    assert "qxyz" in m.known[0] and m.languages == ["aa", "zz"] and sum(map(len, m.known)) <= 60

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -48,3 +49,61 @@ def test_edge_cases(spark):
     out = weaklabel.query(docs).collect()
     assert len(out) == len(rows) and [(r.score, r.keep) for r in out if r.doc_id in (100, 101)] == [(0.0, False)] * 2
     assert weaklabel.query(docs.limit(0)).collect() == []
+
+
+def slow_posterior(rows):
+    """Expectation-maximisation row by row, in plain numbers."""
+    v = [weaklabel.votes(t) for t in rows]
+    q = [(0.95, 0.4, 0.05)[min(sum(x == 0 for x in r), 2)] for r in v]
+    for _ in range(60):
+        prior = min(max(sum(q) / len(q), 0.01), 0.99)
+        right = []
+        for j in range(10):
+            on = [(sum(w for r, w in zip(v, side, strict=True) if r[j] == c) + 1) / (sum(w for r, w in zip(v, side, strict=True) if r[j] >= 0) + 2) for c, side in ((0, [1 - x for x in q]), (1, q))]
+            right.append((max(on[0], 1 - on[1]), on[1]))
+        q = []
+        for r in v:
+            z = math.log(prior / (1 - prior))
+            for x, (poor, good) in zip(r, right, strict=True):
+                z += math.log(good / (1 - poor)) if x == 1 else math.log((1 - good) / poor) if x == 0 else 0
+            q.append(1 / (1 + math.exp(-min(max(z, -50), 50))))
+    return q
+
+
+def slow_scores(texts, labels):
+    """A logistic scorer of the words' hashed features, trained and applied one feature at a time."""
+    places = lambda t: [i for w in t.split() for i in weaklabel.features(w)]
+    w, g, bias, order = {}, {}, 0.0, np.random.default_rng(1)
+    data = sorted((np.array(places(t), np.int32).tobytes(), p, t) for t, p in zip(texts, labels, strict=True))
+    data = [(places(t), p) for f, p, t in data if f]
+    for _ in range(8):
+        for k in order.permutation(len(data)):
+            f, p = data[k]
+            x = {i: 3 * f.count(i) / len(f) for i in set(f)}
+            error = 1 / (1 + math.exp(-(sum(w.get(i, 0.0) * y for i, y in x.items()) + bias))) - p
+            for i, y in x.items():
+                step = error * y + 1e-5 * w.get(i, 0.0)
+                g[i] = g.get(i, 1e-6) + step * step
+                w[i] = w.get(i, 0.0) - 0.5 * step / math.sqrt(g[i])
+            bias -= 0.02 * error
+    return [1 / (1 + math.exp(-(sum(w.get(i, 0.0) for i in places(t)) / len(t.split()) + bias))) if t.split() else 0.0 for t in texts]
+
+
+def test_equals_brute_force(spark):
+    rows = [*corpus(90), (200, None), (201, "x"), (202, "Ünï %%% cödé " * 40)]
+    texts = [(t or "").encode() for _, t in rows]
+    got = {r.doc_id: r for r in weaklabel.query(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    posterior = slow_posterior(texts)
+    for (d, _), p, s in zip(rows, posterior, slow_scores(texts, posterior), strict=True):
+        assert abs(got[d].posterior - p) < 1e-6 and abs(got[d].score - s) < 1e-3
+
+
+def test_scores_are_means_of_all_words():
+    import pyarrow as pa
+
+    w = np.zeros(2**weaklabel.BITS, np.float32)
+    w[list(weaklabel.features(b"good"))] = 1
+    s = weaklabel.Scorer(w, 0.0, remembered=1)
+    first = s.score(pa.array(["good " * 50_000 + "bad", " good", "", "other words"]))  # the shape is that of good
+    assert abs(first[3] - 1 / (1 + math.exp(-1))) < 1e-6
+    assert first[0] > 0.94 and first[1] > first[0] and first[2] == 0
