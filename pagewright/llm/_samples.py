@@ -64,7 +64,7 @@ class Held:
         self.size += len(arrays[0])
 
     def drain(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        out = np.array(self.ids, np.int64), np.array(self.hashes, np.int32), [np.concatenate(p) for p in self.parts]
+        out = np.array(self.ids, np.int64), np.array(self.hashes, np.int64), [np.concatenate(p) for p in self.parts]
         self.__init__(len(self.parts))
         return out
 
@@ -90,7 +90,7 @@ def repeated_places(docs: DataFrame, sample: Callable[[bytes], tuple[np.ndarray,
         zero = np.zeros(len(count), np.int64)
         yield from sliced({
             "k": pa.array(np.r_[k, h[start[size > hot]]].view(np.int64)), "n": pa.array(np.r_[np.where(many, 0, 1), count].astype(np.int32)),
-            "_id": pa.array(np.r_[ids[no], zero]), "_h": pa.array(np.r_[hashes[no], zero].astype(np.int32)), "at": pa.array(np.r_[at, zero - 1].astype(np.int32)),
+            "_id": pa.array(np.r_[ids[no], zero]), "_h": pa.array(np.r_[hashes[no], zero]), "at": pa.array(np.r_[at, zero - 1].astype(np.int32)),
         })
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,18 +106,20 @@ def repeated_places(docs: DataFrame, sample: Callable[[bytes], tuple[np.ndarray,
             yield from combined(held)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _ in complete_groups(batches, "k", 2**62, 100_000):
+        for t, over in complete_groups(batches, "k", 2 * hot, 100_000):
             k, n, at = (t[c].to_numpy() for c in ("k", "n", "at"))
             start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             total = np.repeat(np.add.reduceat(n, start, dtype=np.int64), np.diff(np.r_[start, len(k)]))
+            if over:  # a piece of a hash with more places than are held
+                total[:] = 2 * hot
             keep = (at >= 0) & ((n == 0) | (total > 1))
             at = 2 * at[keep] + ((n == 0) | (total > hot))[keep]
             out = t.select(["_id", "_h"]).filter(pa.array(keep)).append_column("at", pa.array(at.astype(np.int32)))
             yield from out.combine_chunks().to_batches()
 
     bounded_batches(docs.sparkSession)
-    rows = docs.mapInArrow(first, "k long, n int, _id long, _h int, at int")
-    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(second, "_id long, _h int, at int")
+    rows = docs.mapInArrow(first, "k long, n int, _id long, _h long, at int")
+    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(second, "_id long, _h long, at int")
 
 
 def owners_of(owners: np.ndarray, n: int, at: list[int]) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 #: Stands for a null doc_id, so such a row sorts before all others and joins with itself.
 NULL_ID = -(2**63)
 
+#: Rows of a few numbers that go to one file.
+FILE_ROWS = 500_000
+#: A node of more than a 10,000th of all links, and of so many, is a hub.
+HUB = 100_000
+
 #: Arrow batches of this many bytes at most reach Python, whatever the length of a text.
 BATCH_BYTES = 4 << 20
 
@@ -26,19 +31,36 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder of spark.checkpoint.dir, which all executors share; ValueError where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-"))
-        named = spark.sparkContext.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: the lineage ends there and any executor can read it again."""
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: the lineage ends there and any executor can read it again.
+
+    rows: about how many it has, where that is known; each FILE_ROWS of them get one file then. Files and
+    tasks so follow the data, however many partitions df was dealt out in.
+    """
     path = f"{shared_folder(df.sparkSession)}/pagewright-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(files_for(rows))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing will read again, wherever Spark can write."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def files_for(rows: int) -> int:
+    return max(1, math.ceil(rows / FILE_ROWS))
 
 
 def process_wide(key: str, make: Callable[[], object]):
@@ -95,7 +117,7 @@ def text_sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, text: bool = True) -> DataFrame:
-    """Columns _id (doc_id as long, null: NULL_ID), _h (32-bit hash of the text) and _t (text, null: empty).
+    """Columns _id (doc_id as long, null: NULL_ID), _h (64-bit hash of the text) and _t (text, null: empty).
 
     Only these columns go on, so further columns of any name can't clash. Rows with equal doc_id and
     text are one document to every operator: each of them gets the same result.
@@ -105,7 +127,18 @@ def keyed(docs: DataFrame, text: bool = True) -> DataFrame:
 
 
 def row_key(docs: DataFrame) -> tuple[Column, Column]:
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("_id"), F.hash(docs["text"].cast("string")).alias("_h")
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(docs["text"].cast("string")).alias("_h")
+
+
+def apart(docs: DataFrame) -> DataFrame:
+    """docs (of keyed columns and more), each row without a doc_id a document of its own: its _h is a number.
+
+    Such rows, if there are any, are written with their numbers, so that they keep them.
+    """
+    none = docs.where(F.col("_id") == NULL_ID)
+    if none.isEmpty():
+        return docs
+    return docs.where(F.col("_id") != NULL_ID).unionByName(written(none.withColumn("_h", F.monotonically_increasing_id())))
 
 
 def doc_id(column: str = "_id") -> Column:
@@ -198,25 +231,37 @@ def window_owners(h: np.ndarray, w: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, nodes: int | None = None) -> DataFrame:
     """Columns node and component (the smallest node reachable) of every node that has a link.
 
+    nodes: about how many there are, if known, so that links are written in files of a good size.
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the links no longer change.
     A step is joins and minima that Spark combines before the shuffle; links are written to the shared
-    folder after each round, and only a count and a checksum reach the driver. Links to null or to the
-    node itself are ignored; without links the result is empty.
+    folder after each round, and only a count and a checksum reach the driver. The links of a hub aren't
+    shuffled to it: the minima of hubs, of which there are 20,000 at most, are broadcast. Links to null or
+    to the node itself are ignored; without links the result is empty.
     """
     u, v = F.col("u"), F.col("v")
     state = F.expr("count(1) as n"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0L) as x")
-    now = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where((u != v) & F.col(a).isNotNull() & F.col(b).isNotNull()).distinct())
+
+    def with_minimum(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+        hub = max(HUB, total // 10_000)
+        if total <= hub:
+            return rows.join(low, "u")
+        hubs = low.where(F.col("n") > hub)
+        few = rows.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(low.where(F.col("n") <= hub), "u")
+        return few.unionByName(rows.join(F.broadcast(hubs), "u"))
+
+    now = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where((u != v) & F.col(a).isNotNull() & F.col(b).isNotNull()).distinct(), nodes)
     seen = now.agg(*state).first()
     for _ in range(rounds if seen.n else 0):
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = with_minimum(both, low, 2 * seen.n).where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_minimum(large, low, 2 * seen.n).where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
+        old, now = now, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), 2 * seen.n)
+        remove(links.sparkSession, old.written_to)
         last, seen = seen, now.agg(*state).first()
         if last == seen:
             break

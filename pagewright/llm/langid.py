@@ -178,7 +178,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["_id"], b["_h"], lang, pa.array(score)], names=["_id", "_h", "lang_pred", "score"])
 
     bounded_batches(docs.sparkSession)
-    return keyed(docs).mapInArrow(run, "_id long, _h int, lang_pred string, score double")
+    return keyed(docs).mapInArrow(run, "_id long, _h long, lang_pred string, score double")
 
 
 def query(docs: DataFrame, **options: int) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import NULL_ID, doc_id, row_key, written
+from ._shared import NULL_ID, doc_id, files_for, row_key, written
 
 LEVELS = ("domain", "lang", "source")
 #: Integer weights of names at each level; other names weigh 1.
@@ -76,47 +76,65 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select(*row_key(docs), domain_of(F.coalesce(docs["source"].cast("string"), F.lit(""))).alias("domain"), *names, n)
 
 
-def mixed(docs: DataFrame, share: float = 0.8, epochs: int = 2, seed: int = 11, weights: dict[str, dict[str, int]] = WEIGHTS, bucket: int = BUCKET) -> DataFrame:
-    """_id, _h, the levels, epoch and n: one row for each time that a document is taken.
+def counted_rows(docs: DataFrame) -> DataFrame:
+    return written(counted(docs).repartition(files_for(docs.select("doc_id").count())))
+
+
+def mixed(rows: DataFrame, share: float = 0.8, epochs: int = 2, seed: int = 11, weights: dict[str, dict[str, int]] = WEIGHTS, bucket: int = BUCKET, broadcast: int = BROADCAST_LEAVES) -> tuple[DataFrame, bool]:
+    """_id, _h, the levels, epoch and n: one row for each time that a row of counted() is taken; and whether the tree is small.
 
     A leaf with allot tokens to give and T of its own takes allot div T epochs whole; of the next, ordered
-    by the md5 of seed, epoch and doc_id, it takes the longest prefix within the rest. The prefix is found
-    by sums of hash buckets, so a leaf with a third of all rows is put in order in parallel.
+    by the md5 of seed, epoch and doc_id (without one: the text's hash), it takes the longest prefix within
+    the rest. The prefix is found by sums of hash buckets, so a leaf with a third of all rows is put in
+    order in parallel. Ties in that order go by doc_id, then by length.
     """
-    rows = written(counted(docs))
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"))
+    size, tree = rows.count(), leaves.count()
     plan = budgets(leaves, share, epochs, weights)
     full = F.when(F.col("tokens") > 0, F.expr("allot div tokens")).otherwise(F.lit(0)).cast("int")
-    plan = written(plan.withColumn("full", full).select(*LEVELS, "full", (F.col("allot") - F.col("full") * F.col("tokens")).alias("rest"), F.ceil(F.col("docs") / bucket).cast("long").alias("buckets")))
-    small = plan.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+    plan = written(plan.withColumn("full", full).select(*LEVELS, "full", (F.col("allot") - F.col("full") * F.col("tokens")).alias("rest"), F.ceil(F.col("docs") / bucket).cast("long").alias("buckets")), tree)
+    small = tree <= broadcast
     planned = rows.join(F.broadcast(plan) if small else plan, list(LEVELS))
-    digest = F.md5(F.concat_ws(":", F.lit(seed), "full", F.when(F.col("_id") != NULL_ID, F.col("_id")).cast("string")))
+    name = F.when(F.col("_id") != NULL_ID, F.col("_id").cast("string")).otherwise(F.concat(F.lit("h"), F.col("_h")))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), "full", name))
     planned = planned.withColumn("o", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
     planned = planned.withColumn("b", F.shiftright(F.shiftright("o", 30) * F.col("buckets"), 30))
     whole = planned.where("full > 0").select("_id", "_h", *LEVELS, F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("epoch"), "n")
     partial = planned.where((F.col("full") < epochs) & (F.col("rest") > 0))
     sums = partial.groupBy(*LEVELS, "b", "rest").agg(F.sum("n").alias("sum"))
     w = Window.partitionBy(*LEVELS).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    edges = written(sums.withColumn("upto", F.sum("sum").over(w)).withColumn("before", F.col("upto") - F.col("sum")).where("before <= rest").select(*LEVELS, "b", "before", "upto"))
+    edges = written(sums.withColumn("upto", F.sum("sum").over(w)).withColumn("before", F.col("upto") - F.col("sum")).where("before <= rest").select(*LEVELS, "b", "before", "upto"), size // bucket + tree)
     near = partial.join(edges, [*LEVELS, "b"])
     inside = near.where("upto <= rest")
-    order = Window.partitionBy(*LEVELS, "b").orderBy("o", "_id", "n").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*LEVELS, "b").orderBy("o", "_id", "n", "_h").rowsBetween(Window.unboundedPreceding, 0)
     cut = near.where("upto > rest").withColumn("at", F.col("before") + F.sum("n").over(order)).where("at <= rest")
     columns = ["_id", "_h", *LEVELS, F.col("full").alias("epoch"), "n"]
-    return whole.unionByName(inside.select(*columns)).unionByName(cut.select(*columns))
+    return whole.unionByName(inside.select(*columns)).unionByName(cut.select(*columns)), small
 
 
 def query(docs: DataFrame, **options) -> DataFrame:
     """doc_id, domain, lang, source, epoch, n_tokens: one row for each time that a row of docs is taken.
 
-    Null text has no tokens and counts as such; a null doc_id is one more name in the order; repeated rows
-    are counted and taken one by one; no rows, no result.
+    Null and empty texts have no tokens and count as such, very long ones with all their words; a null
+    doc_id is one more name in the order; null lang or source is an empty name; repeated rows are counted
+    and taken one by one; no rows, no result.
     """
-    return mixed(docs, **options).select(doc_id(), *LEVELS, "epoch", F.col("n").alias("n_tokens"))
+    return mixed(counted_rows(docs), **options)[0].select(doc_id(), *LEVELS, "epoch", F.col("n").alias("n_tokens"))
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that a mix of one epoch takes, unchanged."""
-    picks = mixed(docs, epochs=1, **options).select("_id", "_h").distinct()
+    """The rows of docs that a mix of one epoch takes, with all their columns unchanged.
+
+    Nulls, empty and very long texts and ties are as in query. Of repeated rows (equal doc_id, or none, and
+    text) as many stay as were taken: those with the smallest hashes of all columns, so the budget holds.
+    """
+    rows = counted_rows(docs)
+    picks, small = mixed(rows, epochs=1, **options)
+    picks = picks.groupBy("_id", "_h").agg(F.count("*").alias("_k")).join(rows.groupBy("_id", "_h").agg(F.count("*").alias("_n")), ["_id", "_h"])
+    whole, part = picks.where("_k = _n").select("_id", "_h"), picks.where("_k < _n").select("_id", "_h", "_k")
     tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *row_key(docs))
-    return tagged.join(picks, ["_id", "_h"], "left_semi").select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    # a leaf's order is cut at one place, so no more keys than leaves are taken in part
+    order = Window.partitionBy("_id", "_h").orderBy(F.xxhash64("_row"))
+    some = tagged.join(F.broadcast(part) if small else part, ["_id", "_h"]).withColumn("_i", F.row_number().over(order)).where("_i <= _k").select("_row")
+    out = tagged.join(whole, ["_id", "_h"], "left_semi").select("_row").unionByName(some)
+    return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -1,16 +1,18 @@
 """Substring dedup of words by relative Lempel-Ziv parsing against the corpus's own earlier text.
 
-The reference is all text that comes earlier (smaller doc_id, or further left in the document). Its index
-holds phrases of `window` words; it is cut into blocks by phrase hash, one block a shuffle partition, so
-every document can be factored against every block without pairing documents. A document is parsed in
-order: a factor starts at a phrase that a block holds and grows word by word while the next phrase
-continues at the same source. Where a factor ends, phrases that straddle its boundary are looked up as
-well, so a repeat that starts inside a factor and runs past its end is found. Each factor has `window`
-words or more and becomes a duplicate span.
-
-Phrases are looked up only where a sample says they may occur twice (see _samples): two equal phrases
-always share the sampled 6-gram that owns them. The phrases of a sample at few places travel as one row by
-the sample's hash; those of a hot sample each by their own hash, after the task has parsed its own copies.
+The reference is all text that comes earlier (smaller doc_id, or further left in the document). It is cut
+into blocks by content: a block is the phrases (runs of `window` words) around one sampled 6-gram, with an
+index of the first place of each phrase. Two equal phrases always share the 6-gram that owns them (see
+_samples), so each stretch of a document need be parsed against its own blocks only, and none but blocks
+that a sample says two places share are built. A stretch is parsed greedily from left to right: a factor
+starts at a phrase that the index has, and grows phrase by phrase as long as its source goes on alike. Where
+it ends, the next phrases straddle its boundary; they are looked up in turn, so a repeat that starts inside
+a factor and runs past its end is found. Factors have `window` words or more and become duplicate spans.
+
+Phrases of a sample at few places travel as one row by the sample's hash. Those of a hot sample travel each
+by their own hash, after the task has parsed its own copies: there a factor that other tasks' text gives is
+one phrase, and neighbouring factors of a document are joined when its spans are. Phrases are compared by
+64-bit hashes and, if of a hot sample, 32 bits more.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from ._samples import FLUSH, HOT, Held, ngram_hashes, owners_of, repeated_places, sliced, stretches, with_places
-from ._shared import bounded_batches, complete_groups, doc_id, keyed, mix, row_key, window_owners
+from ._shared import apart, bounded_batches, complete_groups, doc_id, keyed, mix, row_key, window_owners
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -37,6 +39,31 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, text.split()), np.uint64)
 
 
+def parsed(first: np.ndarray, later: np.ndarray, stretch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where greedy factors start, and the number of phrases of each.
+
+    first: the first place of each phrase, by place; later: whether that is another one; stretch: the
+    stretch of each place. All stretches are parsed at once, from left to right.
+    """
+    size, grows, step = np.ones(len(first), np.int64), np.flatnonzero(later), 1
+    while len(grows):
+        grows = grows[grows + step < len(first)]
+        source = first[grows]
+        x, y = grows + step, source + step
+        grows = grows[(stretch[x] == stretch[grows]) & (stretch[y] == stretch[source]) & (first[x] == first[y])]
+        size[grows] += 1
+        step += 1
+    at, starts = np.flatnonzero(np.r_[True, stretch[1:] != stretch[:-1]][: len(stretch)]), []
+    while len(at):
+        starts.append(at[later[at]])
+        after = at + np.where(later[at], size[at], 1)
+        inside = after < len(first)
+        at, after = at[inside], after[inside]
+        at = after[stretch[after] == stretch[at]]
+    starts = np.sort(np.concatenate(starts)) if starts else np.empty(0, np.int64)
+    return starts, size[starts]
+
+
 def factors(docs: DataFrame, window: int = 20, gram: int = 6, hot: int = HOT, flush: int = FLUSH) -> DataFrame:
     """_id, _h, s, e, src, src_s: the words s to e (exclusive) of a document repeat those at src_s of src.
 
@@ -104,7 +131,7 @@ def factors(docs: DataFrame, window: int = 20, gram: int = 6, hot: int = HOT, fl
             yield from looked_up(held)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A phrase of a block that isn't its first gets the first as source; factors pass through."""
+        """The stretches of a block are parsed against the block's index; factors pass through."""
         names = ["_id", "_h", "s", "e", "src", "src_s"]
         for t, _ in complete_groups(batches, "k", 2**62, 20_000):
             k, v, s, e, i, h = (t[c].to_numpy() for c in ("k", "v", "s", "e", "_id", "_h"))
@@ -118,34 +145,30 @@ def factors(docs: DataFrame, window: int = 20, gram: int = 6, hot: int = HOT, fl
             w = np.frombuffer(b"".join(data), np.uint64)
             # a phrase in a list is known by its hash and by the sample's
             w = mix(w ^ mix(k[lists].view(np.uint64))[row])
-            for key, check, i_, h_, s_ in ((k[one].view(np.uint64), v[one], i[one], h[one], s[one]), (w, np.zeros(len(w), np.int32), i[lists][row], h[lists][row], s[lists][row] + step)):
+            alone = np.arange(np.count_nonzero(one))
+            for key, check, stretch, i_, h_, s_ in ((k[one].view(np.uint64), v[one], alone, i[one], h[one], s[one]), (w, np.zeros(len(w), np.int32), row, i[lists][row], h[lists][row], s[lists][row] + step)):
                 order = np.argsort(key, kind="stable")  # rows come by document, so the first of equals is the earliest
                 key, check = key[order], check[order]
                 start = np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])][: len(key)]
                 first = np.empty(len(key), np.int64)
                 first[order] = order[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))]
-                later = np.flatnonzero((i_ != i_[first]) | (h_ != h_[first]) | (s_ != s_[first]))
-                if not len(later):
-                    continue
-                f = first[later]
-                same = lambda x: x[1:] == x[:-1]
-                cut = np.flatnonzero(~(same(i_[later]) & same(h_[later]) & (np.diff(s_[later]) == 1) & same(i_[f]) & same(h_[f]) & (np.diff(s_[f]) == 1)))
-                a, z = np.r_[0, cut + 1], np.r_[cut, len(later) - 1]
-                at, f = later[a], f[a]
-                out = i_[at], h_[at].astype(np.int32), s_[at].astype(np.int32), (s_[later[z]] + window).astype(np.int32), i_[f], s_[f].astype(np.int32)
+                later = (i_ != i_[first]) | (h_ != h_[first]) | (s_ != s_[first])
+                at, n = parsed(first, later, stretch)
+                f = first[at]
+                out = i_[at], h_[at], s_[at].astype(np.int32), (s_[at] + n - 1 + window).astype(np.int32), i_[f], s_[f].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
 
     bounded_batches(docs.sparkSession)
-    schema = "k long, v int, _id long, _h int, s int, e int, src long, src_s int, ws binary"
+    schema = "k long, v int, _id long, _h long, s int, e int, src long, src_s int, ws binary"
     found = with_places(docs, repeated_places(docs, sample, hot, flush), "inner").mapInArrow(phrases, schema)
     found = found.repartition("k").sortWithinPartitions("k", "v", "_id", "_h", "s")
-    return found.mapInArrow(blocks, "_id long, _h int, s int, e int, src long, src_s int")
+    return found.mapInArrow(blocks, "_id long, _h long, s int, e int, src long, src_s int")
 
 
 def _rows(k, v, ids, hashes, s, e=None, src=None, src_s=None, ws=None) -> dict[str, pa.Array]:
     zero = np.zeros(len(k), np.int64)
     as_int = lambda x: pa.array((zero if x is None else x).astype(np.int32))
-    return {"k": pa.array(k.view(np.int64)), "v": pa.array(v), "_id": pa.array(ids), "_h": as_int(hashes), "s": as_int(s), "e": as_int(e), "src": pa.array(zero if src is None else src), "src_s": as_int(src_s), "ws": pa.nulls(len(k), pa.binary()) if ws is None else pa.array(ws, pa.binary())}
+    return {"k": pa.array(k.view(np.int64)), "v": pa.array(v), "_id": pa.array(ids), "_h": pa.array(hashes), "s": as_int(s), "e": as_int(e), "src": pa.array(zero if src is None else src), "src_s": as_int(src_s), "ws": pa.nulls(len(k), pa.binary()) if ws is None else pa.array(ws, pa.binary())}
 
 
 def removed(n: int, spans: list[int] | None) -> np.ndarray:
@@ -167,10 +190,11 @@ def query(docs: DataFrame, window: int = 20, **options: int) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of docs (columns doc_id, text).
 
     A word goes if a window of `window` words over it also starts earlier: at a smaller doc_id, or further
-    left in its document. Windows are judged on the input. Null text has no words; a null doc_id comes
-    before all others; repeated rows are one document and get one result each; of different texts with one
-    doc_id the one with the smaller 32-bit hash comes first; no rows, no result. Texts
-    of fewer words than the window keep all.
+    left in its document. Windows are judged on the input. Null text has no words. Rows without a doc_id
+    are documents of their own and come before all others, in one order or another. Repeated rows (equal
+    doc_id and text) are one document and get one result each; of different texts with one doc_id the one
+    with the smaller 64-bit hash comes first. Texts of fewer words than the window keep all; very long ones
+    are read whole; no rows, no result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +209,7 @@ def query(docs: DataFrame, window: int = 20, **options: int) -> DataFrame:
             n, gone, sha = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b["_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["_id", "n_words", "n_removed", "kept_sha256"])
 
-    out = _with_spans(keyed(docs), window, **options).mapInArrow(run, "_id long, n_words long, n_removed long, kept_sha256 string")
+    out = _with_spans(apart(keyed(docs)), window, **options).mapInArrow(run, "_id long, n_words long, n_removed long, kept_sha256 string")
     return out.select(doc_id(), "n_words", "n_removed", "kept_sha256")
 
 
@@ -193,7 +217,8 @@ def without_repeats(docs: DataFrame, window: int = 20, **options: int) -> DataFr
     """docs with the repeated words cut from text, and n_chars (if there) counted anew.
 
     White space stays before a word that stays. A row all of whose words go is dropped; a row without
-    words stays as it is. Other columns are unchanged; they travel with the text, which is dealt out once.
+    words, null text included, stays as it is. Ids, repeated rows and ties are as in query. Other columns,
+    whatever their names, are unchanged; they travel with the text, which is dealt out once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +242,7 @@ def without_repeats(docs: DataFrame, window: int = 20, **options: int) -> DataFr
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_row")
     rows = docs.select(*row_key(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"), F.col("text").isNotNull().alias("_there"), others)
     schema = StructType([rows.schema["_row"], StructField("_new", StringType()), StructField("_changed", BooleanType())])
-    out = _with_spans(rows, window, **options).mapInArrow(run, schema)
+    out = _with_spans(apart(rows), window, **options).mapInArrow(run, schema)
 
     def column(c: str):
         if c == "text":

@@ -1,13 +1,16 @@
 """Repeated byte strings by bucket-pointer refinement of suffix buckets.
 
-Every position starts in the bucket of its q-gram. A bucket is refined by looking at the bucket of a later
-offset of the same suffix: positions that agree in both go to one finer bucket, and these new identifiers
-serve the next refinement in turn (Schuermann and Stoye, 2005). Three steps bring 64-byte buckets to
-strings of 200 bytes: the bucket at +64, then that at +136. Sorting on the last identifiers brings equal
-strings together; a bucket of two or more is a repeat.
+Every position starts in the bucket of its q-gram. A bucket is refined by sorting its positions on the bucket
+numbers of a later offset of the same suffix: positions that agree in both stay together, and these finer
+numbers serve the next refinement in turn (Schuermann and Stoye, 2005). So 64-byte buckets become those of
+128 bytes by the numbers at +64, and those of 200 bytes by the refined numbers at +72. A bucket with one
+position is done: no longer string there repeats. What is left in the end are the repeats.
 
 A corpus is split by its samples (see _samples): all positions of equal strings lie with the q-gram that
-owns the string, so each sample's neighbourhoods are refined apart from all others, on any executor.
+owns the string, so each sample's neighbourhoods are refined apart from all others, on any executor. Bucket
+numbers hold inside a task only. The strings of a hot sample, whose positions no one task may gather, are
+named instead by a hash of their buckets, which any task finds alike, and grouped by that name. A q-gram's
+bucket is known by a 64-bit hash; names of hot strings have 96 bits.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._samples import FLUSH, Held, owners_of, repeated_places, runs, sliced, stretches, with_places
-from ._shared import bounded_batches, complete_groups, doc_id, keyed, mix, window_owners
+from ._shared import apart, bounded_batches, complete_groups, doc_id, keyed, mix, window_owners
 
 #: A text is worked through in pieces of this many bytes.
 PIECE = 1 << 22
@@ -51,8 +54,8 @@ def gram_buckets() -> Callable[[np.ndarray, int], np.ndarray]:
     return buckets
 
 
-def refined(bucket: np.ndarray, q: int, length: int) -> np.ndarray:
-    """Identifiers of the strings of `length` bytes, from the buckets of q-grams."""
+def named(bucket: np.ndarray, q: int, length: int) -> np.ndarray:
+    """Names of the strings of `length` bytes, from the buckets of their q-grams."""
     ids, reach = bucket, q
     while reach < length:
         step = min(reach, length - reach)
@@ -61,6 +64,35 @@ def refined(bucket: np.ndarray, q: int, length: int) -> np.ndarray:
     return ids
 
 
+def numbered(keys: np.ndarray) -> np.ndarray:
+    """The number of each key's bucket in sorted order; -1 for a key that no other equals."""
+    order = np.argsort(keys)
+    start = np.r_[True, keys[order][1:] != keys[order][:-1]][: len(keys)]
+    number = np.cumsum(start) - 1
+    number[np.bincount(number, minlength=1)[number] < 2] = -1
+    out = np.empty(len(keys), np.int64)
+    out[order] = number
+    return out
+
+
+def refined(grams: np.ndarray, left: np.ndarray, q: int, length: int) -> np.ndarray:
+    """Bucket numbers of the strings of `length` bytes at each position; -1 where nothing equals them.
+
+    grams: the buckets of q-grams; left: how many bytes of its own text each position has before it ends.
+    """
+    bucket = np.full(len(left), -1)
+    at = np.flatnonzero(left[: len(grams)] >= q)
+    bucket[at] = numbered(grams[at])
+    while q < length:
+        step = min(q, length - q)
+        at = at[(left[at] >= q + step) & (bucket[at] >= 0)]
+        at = at[bucket[at + step] >= 0]
+        finer = np.full(len(left), -1)
+        finer[at] = numbered(bucket[at] * len(left) + bucket[at + step])
+        bucket, q = finer, q + step
+    return bucket
+
+
 def repeated_spans(docs: DataFrame, length: int = 200, q: int = 64, hot: int = HOT, flush: int = FLUSH, least: int = 2000) -> DataFrame:
     """_id, _h, s, e: spans of bytes covered by strings of `length` bytes that start at another place too.
 
@@ -120,7 +152,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, q: int = 64, hot: int = H
                     s, few = owners_of(owners, len(part), here)
                     if len(s):
                         v = (mix(g[s] ^ g[s + length - q] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                        held.add(doc, text_hash, refined(g, q, length)[s], v, s + c)
+                        held.add(doc, text_hash, named(g, q, length)[s], v, s + c)
                     if len(few):
                         a, z = stretches(owners, few)
                         k, first, last = g[owners[few[a]]].view(np.int64).tolist(), (few[a] + c).tolist(), (few[z - 1] + c + length).tolist()
@@ -153,15 +185,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, q: int = 64, hot: int = H
                 continue
             size = np.fromiter(map(len, near), np.int64, len(near))
             data = np.frombuffer(b"".join(near), np.uint8)
-            row = np.repeat(np.arange(len(size)), size - length + 1)
-            within = np.arange(len(row)) - np.repeat(np.cumsum(size - length + 1) - (size - length + 1), size - length + 1)
-            ids = refined(buckets(data, q), q, length)[(np.cumsum(size) - size)[row] + within]
-            order = np.argsort(ids)
-            same = ids[order][1:] == ids[order][:-1]
-            again = np.zeros(len(ids), bool)
-            again[order[1:][same]] = again[order[:-1][same]] = True
+            row = np.repeat(np.arange(len(size)), size)
+            within = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
             # positions of one string that two stretches of a document share can't occur: each has one owner
-            found = np.flatnonzero(again)
+            found = np.flatnonzero(refined(buckets(data, q), size[row] - within, q, length) >= 0)
             cut = np.flatnonzero((np.diff(found) != 1) | (np.diff(row[found]) != 0))
             a, z = (found[np.r_[0, cut + 1]], found[np.r_[cut, len(found) - 1]]) if len(found) else (found, found)
             i, h, s = i[lists][row[a]], h[lists][row[a]], s[lists][row[a]]
@@ -174,14 +201,14 @@ def repeated_spans(docs: DataFrame, length: int = 200, q: int = 64, hot: int = H
 
     bounded_batches(docs.sparkSession)
     found = with_places(docs, repeated_places(docs, sampled, hot, flush), "inner")
-    found = found.mapInArrow(neighbourhoods, "k long, v int, _id long, _h int, s int, e int, n int, near binary")
-    return found.repartition("k").sortWithinPartitions("k").mapInArrow(refine, "_id long, _h int, s int, e int")
+    found = found.mapInArrow(neighbourhoods, "k long, v int, _id long, _h long, s int, e int, n int, near binary")
+    return found.repartition("k").sortWithinPartitions("k").mapInArrow(refine, "_id long, _h long, s int, e int")
 
 
 def _rows(k, v, ids, hashes, s, e=None, n=None, near=None) -> dict[str, pa.Array]:
     zero = np.zeros(len(k), np.int64)
     as_int = lambda x: pa.array((zero if x is None else x).astype(np.int32))
-    return {"k": pa.array(k.view(np.int64)), "v": pa.array(v), "_id": pa.array(ids), "_h": as_int(hashes), "s": as_int(s), "e": as_int(e), "n": as_int(n), "near": pa.nulls(len(k), pa.binary()) if near is None else pa.array(near, pa.binary())}
+    return {"k": pa.array(k.view(np.int64)), "v": pa.array(v), "_id": pa.array(ids), "_h": pa.array(hashes), "s": as_int(s), "e": as_int(e), "n": as_int(n), "near": pa.nulls(len(k), pa.binary()) if near is None else pa.array(near, pa.binary())}
 
 
 def merged(spans: list[int]) -> tuple[list[int], list[int]]:
@@ -196,9 +223,11 @@ def query(docs: DataFrame, length: int = 200, **options: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (columns doc_id, text).
 
     Each byte goes that a string of `length` bytes covers which also starts anywhere else; strings are
-    judged on the input, and none crosses documents. Null text counts as empty; repeated rows (equal
-    doc_id and text) are one document and no repeat of each other; shorter texts keep all; no rows, no
-    result. A cut may leave part of a UTF-8 character: bytes are judged, not characters.
+    judged on the input, and none crosses documents. Null text counts as empty. Rows without a doc_id are
+    documents of their own; repeated rows (equal doc_id and text) are one document and no repeat of each
+    other; different texts with one doc_id are documents of their own too, told apart by 64-bit hashes.
+    Shorter texts keep all; very long ones are read in pieces; no rows, no result. A cut may leave part of
+    a UTF-8 character: bytes are judged, not characters.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +242,7 @@ def query(docs: DataFrame, length: int = 200, **options: int) -> DataFrame:
             n, gone, count, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b["_id"], *(pa.array(x, pa.int64()) for x in (n, gone, count)), pa.array(sha, pa.string())], names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = keyed(docs)
+    rows = apart(keyed(docs))
     found = repeated_spans(rows, length, **options).select("_id", "_h", F.expr("shiftleft(cast(s as bigint), 32) | e").alias("at"))
     out = with_places(rows, found, "left").mapInArrow(run, "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(doc_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256")

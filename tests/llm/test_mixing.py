@@ -62,7 +62,7 @@ def corpus(seed):
 @pytest.mark.parametrize(("share", "epochs", "bucket"), [(0.8, 2, 512), (0.5, 1, 8), (1.7, 3, 1), (9.0, 2, 20)])
 def test_equals_brute_force(spark, share, epochs, bucket):
     rows = corpus(int(share * 10))
-    got = mixing.query(spark.createDataFrame(rows, SCHEMA), share=share, epochs=epochs, bucket=bucket).collect()
+    got = mixing.query(spark.createDataFrame(rows, SCHEMA), share=share, epochs=epochs, bucket=bucket, broadcast=[0, 20_000][bucket > 1]).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, share, epochs, 11)
 
 
@@ -77,3 +77,24 @@ def test_taken_rows_and_empty_table(spark):
     got = mixing.taken(docs, share=0.5)
     assert got.columns == docs.columns and 0 < got.count() < docs.count()
     assert mixing.query(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_repeated_rows_are_taken_one_by_one(spark, broadcast):
+    rows = [(7, "w " * 10, "en", "src1")] * 40 + [(None, "n " * 10, "en", "src1")] * 40 + [(i, "w " * 10, "en", "src1") for i in range(100, 120)]
+    rows += [(7, "other text", "en", "src1"), (None, "v " * 50, "de", "src2"), (9, "", "de", "src2"), (9, None, "de", "src2")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], SCHEMA + ", _row long").repartition(5)
+    options = {"share": 0.6, "weights": {x: {} for x in mixing.LEVELS}, "broadcast": broadcast}
+    picked = mixing.query(docs, epochs=1, **options).collect()
+    taken = mixing.taken(docs, **options).collect()
+    key = lambda d, n: (str(d), n)
+    assert sorted(key(r.doc_id, r.n_tokens) for r in picked) == sorted(key(r.doc_id, len((r.text or "").split())) for r in taken)
+    assert len({r._row for r in taken}) == len(taken) and {tuple(r) for r in taken} <= {(*r, i) for i, r in enumerate(rows)}
+    short = [r for r in taken if r.source == "src1"]
+    assert 0 < len(short) < 101 and sum(len(r.text.split()) for r in short) <= 1002
+
+
+def test_long_text(spark):
+    rows = [(1, "v " * 200_000, "de", "src2"), (2, "w " * 5, "de", "src2"), (None, None, None, None)]
+    got = mixing.query(spark.createDataFrame(rows, SCHEMA), share=1.0, epochs=1).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == [("1", 200_000), ("2", 5)]

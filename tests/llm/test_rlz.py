@@ -10,15 +10,15 @@ SCHEMA = "doc_id long, text string"
 
 def brute(rows, window):
     low = -(2**63)
-    ids = sorted({(low if d is None else d, t or "") for d, t in rows})
+    # a row without a doc_id is a document of its own
+    keys = [(low if d is None else d, i if d is None else -1, t or "") for i, (d, t) in enumerate(rows)]
     first, words = {}, {}
-    for key in ids:
-        w = words[key] = key[1].encode().split()
+    for key in sorted({*keys}):
+        w = words[key] = key[2].encode().split()
         for i in range(len(w) - window + 1):
             first.setdefault(tuple(w[i : i + window]), (key, i))
     out = []
-    for d, t in rows:
-        key = (low if d is None else d, t or "")
+    for key, (d, _) in zip(keys, rows, strict=True):
         w, gone = words[key], set()
         for i in range(len(w) - window + 1):
             if first[tuple(w[i : i + window])] != (key, i):
@@ -66,3 +66,40 @@ def test_cut_text_and_empty_table(spark):
     got = {r.doc_id: (r.text, r._id, r.n_chars) for r in rlz.without_repeats(docs).collect()}
     assert got == {1: (p, "x", 1), 2: ("so\nthen", "y", 7), 4: (None, None, None), 5: ("short", None, None)}
     assert rlz.without_repeats(docs.limit(0)).collect() == [] == rlz.query(docs.limit(0)).collect()
+
+
+def test_rows_without_ids_and_ids_of_many_texts(spark):
+    p = " ".join(f"p{i}" for i in range(30))
+    # the first two texts have one 32-bit hash
+    rows = [(None, "doc number 203737 text"), (None, "doc number 307438 text"), (1, "doc number 203737 text"), (2, "doc number 307438 text")]
+    rows += [(None, p)] * 5 + [(3, p)] + [(4, f"{p} {i}") for i in range(6)] + [(5, f"{p} end")] * 3
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = sorted(map(tuple, rlz.query(docs, 3, gram=2).collect()), key=str)
+    n = lambda d: sorted(r[2] for r in got if r[0] == d)
+    assert n(None) == [0, 0, 30, 30, 30, 30] or n(None) == [0, 0, 0, 30, 30, 30, 30]
+    assert n(1) == n(2) == [4] and n(3) == [30] and n(5) == [30] * 3 and sum(x >= 30 for x in n(4)) == 6
+    kept = rlz.without_repeats(docs, 3, gram=2).collect()
+    assert sum(r.text == p for r in kept) == 1 and sum(r.doc_id is None for r in kept) == 3
+
+
+def test_long_texts(spark):
+    r = random.Random(2)
+    long = " ".join(f"w{r.randrange(50)}" for _ in range(60_000))
+    rows = [(1, long), (2, "x " + long[:300_000] + " y"), (3, "short")]
+    got = rlz.query(spark.createDataFrame(rows, SCHEMA), 20, flush=20_000).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 20)
+
+
+def test_greedy_factors():
+    import numpy as np
+
+    # two stretches: a b c d e and x b c d y b c; the second's first places: b c d again at 1, b c once more
+    first = np.array([0, 1, 2, 3, 4, 5, 1, 2, 3, 9, 1, 2])
+    stretch = np.array([0] * 5 + [1] * 7)
+    at, size = rlz.parsed(first, first != np.arange(12), stretch)
+    assert (at.tolist(), size.tolist()) == ([6, 10], [3, 2])
+    # a factor ends where its source does; the phrase that straddles its end is looked up next
+    first = np.array([0, 1, 2, 3, 0, 1, 2, 3])
+    stretch = np.array([0, 0, 1, 1, 2, 2, 2, 2])
+    at, size = rlz.parsed(first, first != np.arange(8), stretch)
+    assert (at.tolist(), size.tolist()) == ([4, 6], [2, 2])

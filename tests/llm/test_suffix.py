@@ -11,10 +11,10 @@ SCHEMA = "doc_id long, text string"
 
 def brute(rows, length):
     places = defaultdict(set)
-    for d, t in rows:
+    for n, (d, t) in enumerate(rows):  # a row without a doc_id is a document of its own
         b = (t or "").encode()
         for i in range(len(b) - length + 1):
-            places[b[i : i + length]].add((d, b, i))
+            places[b[i : i + length]].add((d, b, i, n if d is None else -1))
     out = []
     for d, t in rows:
         b, gone = (t or "").encode(), set()
@@ -57,3 +57,27 @@ def test_empty_table_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "q" * 500, 3), (2, "short", 4)], "doc_id long, text string, _id long")
     assert {tuple(r)[:4] for r in suffix.query(docs).collect()} == {(1, 500, 500, 1), (2, 5, 0, 0)}
     assert suffix.query(docs.limit(0)).collect() == []
+
+
+def test_rows_without_ids_and_ids_of_many_texts(spark):
+    r = random.Random(3)
+    p = "".join(r.choices("abcdefgh", k=90))
+    rows = [(None, p), (None, p + "!"), (None, p), (1, "x" + p), (1, "y" + p), (2, "z" * 30), (None, "".join(r.choices("ijkl", k=90)))]
+    got = suffix.query(spark.createDataFrame(rows, SCHEMA).repartition(3), 60, q=16).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 60)
+
+
+def test_bucket_numbers():
+    import numpy as np
+
+    text = b"abcdefgh-abcdefgx-abcdefgh"
+    data = np.frombuffer(text, np.uint8)
+    left = len(text) - np.arange(len(text))
+    grams = suffix.gram_buckets()(data, 2)
+    for length in (2, 3, 4, 7, 8):
+        bucket = suffix.refined(grams, left, 2, length)
+        for i in range(len(text)):
+            s = text[i : i + length]
+            same = [j for j in range(len(text) - length + 1) if text[j : j + length] == s]
+            assert (bucket[i] >= 0) == (len(s) == length and len(same) > 1)
+            assert len({bucket[j] for j in same}) <= 1
