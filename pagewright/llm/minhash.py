@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._samples import ngram_hashes
-from ._shared import NULL_ID, bounded_batches, complete_groups, connected_components, doc_id, keyed, mix, written
+from ._shared import bounded_batches, complete_groups, connected_components, doc_id, keyed, mix, written
 
 PERMUTATIONS = 128
 WIDTH = 5
@@ -25,6 +25,12 @@ WIDTH = 5
 RANGE_ROWS = 4000
 #: Beyond so many ranges they get larger instead; their cuts are a list of longs that travels with the code.
 MOST_RANGES = 100_000
+#: Pairs are verified whose signatures are alike by the threshold less this: over four standard errors.
+GATE = 0.15
+#: Rows of a few numbers that a row with a signature counts as.
+SIGNATURE_ROWS = 10
+#: Classes that are linked, or whose groups are verified, in one go.
+LINKED_TOGETHER, VERIFIED_TOGETHER = 20_000, 500
 #: Classes and shingles of about one part of a large bucket; two parts meet in a task.
 PART_ROWS, PART_SHINGLES = 2048, 1 << 19
 
@@ -127,110 +133,72 @@ def query(docs: DataFrame, permutations: int = PERMUTATIONS, width: int = WIDTH,
     return out.select(doc_id(), *out.columns[1:])
 
 
-def _tree(sig: np.ndarray, least: float, sure: float, others: int = 16) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links i, j between signatures alike by least, far fewer than all pairs.
-
-    What a chain of sure likeness joins is a cluster, each member linked once. Besides, every signature is
-    linked to its most alike member in each earlier cluster, for the `others` most alike of these clusters.
-    """
-    left, queue, a, b = np.arange(1, len(sig)), [0], [], []
-    best, by = np.zeros(len(sig)), np.zeros(len(sig), np.int64)
-    top, top_by = np.zeros((len(sig), others)), np.zeros((len(sig), others), np.int64)
-
-    def reached(members: np.ndarray) -> None:
-        at, slot = np.nonzero(top[members] >= least)
-        a.append(top_by[members[at], slot])
-        b.append(members[at])
-
-    while len(left):
-        if queue:
-            i = queue.pop()
-            like = (sig[left] == sig[i]).mean(axis=1)
-            near = like >= sure
-            found, left, like = left[near], left[~near], like[~near]
-            a.append(np.full(len(found), i))
-            b.append(found)
-            reached(found)
-            queue += found.tolist()
-            more = like > best[left]
-            best[left[more]], by[left[more]] = like[more], i
-            continue
-        slot = top[left].argmin(axis=1)
-        more = best[left] > top[left, slot]
-        top[left[more], slot[more]], top_by[left[more], slot[more]] = best[left[more]], by[left[more]]
-        best[:] = 0
-        reached(left[:1])
-        queue, left = [int(left[0])], left[1:]
-    return a, b
-
-
 def band_keys(bands: int) -> Column:
     """The buckets of a signature (column sig), one for each band."""
     size = F.floor(F.length("sig") / (2 * bands)).cast("int") * 2
     return F.array(*(F.xxhash64(F.lit(i), F.col("sig").substr(size * i + 1, size)) for i in range(bands)))
 
 
-def band_pairs(classes: DataFrame, threshold: float = 0.8, bands: int = 25, most: int = 64, limit: int = 8192) -> DataFrame:
-    """a, b: candidates among classes (columns c, sig) that agree in a band of their signatures.
+def joined_pairs(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest place that pairs of places connect each of n places with."""
+    low = np.arange(n)
+    while True:
+        before, least = low.copy(), np.minimum(low[a], low[b])
+        np.minimum.at(low, a, least)
+        np.minimum.at(low, b, least)
+        low = low[low]
+        if (low == before).all():
+            return low
 
-    In a bucket of up to `most` classes every two whose signatures are alike by threshold - 0.15 are
-    candidates; a larger one gives links between and along chains of likeness and not all pairs: unjoined_links
-    verifies the others. A bucket of more than `limit` classes is dealt out in blocks, each pair of blocks a
-    group of its own.
+
+def band_links(classes: DataFrame, threshold: float = 0.8, bands: int = 25, most: int = 64) -> DataFrame:
+    """a, b: links that connect all candidates among classes (columns c, sig) that agree in a band.
+
+    In a bucket of up to `most` classes those are candidates whose signatures are alike by threshold - GATE;
+    in a larger one all are. What candidates connect in a bucket is linked to its first class, so each class
+    gets one link a bucket at most, and a large bucket is streamed.
     """
-    least, sure = threshold - 0.15, threshold + 0.1
-    schema = "k long, a long, b long, sig binary"
+    least = threshold - GATE
 
-    def meet(batches: Iterator[pa.RecordBatch], limit: int = limit) -> Iterator[pa.RecordBatch]:
-        for t, over in complete_groups(batches, "k", limit):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center = None
+        for t, over in complete_groups(batches, "k", most, LINKED_TOGETHER):
             k, c = t["k"].to_numpy(), t["c"].to_numpy()
             if over:
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.nulls(len(c), pa.int64()), t["sig"].combine_chunks()], names=["k", "a", "b", "sig"])
+                if center is None or center[0] != k[0]:
+                    center = k[0], c[0]
+                c = c[c != center[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), center[1])), pa.array(c)], names=["a", "b"])
                 continue
             same = k[1:] == k[:-1]
             met = np.r_[False, same] | np.r_[same, False]
             k, c, t = k[met], c[met], t.filter(pa.array(met))
             if not len(k):
                 continue
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(k), -1)
-            start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            size = np.diff(np.r_[start, len(k)])
-            a, b = [], []
-            for s, n in zip(start[size > most].tolist(), size[size > most].tolist(), strict=True):
-                for out, found in zip((a, b), _tree(sig[s : s + n], least, sure), strict=True):
-                    out += [c[s + x] for x in found]
-            few = np.repeat(size <= most, size)
-            k, c, sig = k[few], c[few], sig[few]
+            sig, alike = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(k), -1), []
             for d in range(1, most):
                 at = np.flatnonzero(k[d:] == k[:-d])
                 if not len(at):
                     break
-                at = at[(sig[at] == sig[at + d]).mean(axis=1) >= least]
-                a.append(c[at])
-                b.append(c[at + d])
-            none = np.empty(0, np.int64)
-            a, b = np.concatenate(a or [none]), np.concatenate(b or [none])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], names=["k", "a", "b", "sig"])
-
-    order = lambda rows: rows.repartition("k").sortWithinPartitions("k", "c")
+                at = at[np.count_nonzero(sig[at] == sig[at + d], axis=1) >= least * sig.shape[1]]
+                alike.append((at, at + d))
+            low = joined_pairs(len(k), *map(np.concatenate, zip(*alike, strict=True)))
+            at = np.flatnonzero(low != np.arange(len(k)))
+            yield pa.RecordBatch.from_arrays([pa.array(c[low[at]]), pa.array(c[at])], names=["a", "b"])
+
     # signatures follow only to buckets of two or more
     spread = classes.select(F.explode(band_keys(bands)).alias("k"), "c")
-    met = spread.join(spread.groupBy("k").count().where("count > 1").select("k"), "k", "left_semi")
-    out = written(order(met.join(classes.select("c", "sig"), "c").select("k", "c", "sig")).mapInArrow(meet, schema))
-    found, rows = out.where("k is null").select("a", "b"), out.where("k is not null").select("k", F.col("a").alias("c"), "sig")
-    if not rows.isEmpty():
-        n = rows.groupBy("k").agg(F.ceil(F.count("*") * 2 / limit).cast("int").alias("n"))
-        dealt = rows.join(n, "k").withColumn("p", F.pmod(F.xxhash64("c", F.lit(1)), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        dealt = dealt.select(F.xxhash64("k", F.least("p", "o"), F.greatest("p", "o")).alias("k"), "c", "sig")
-        found = found.unionByName(order(dealt).mapInArrow(lambda batches: meet(batches, 2**62), schema).select("a", "b"))
-    return found.distinct()
+    shared = spread.join(spread.groupBy("k").count().where("count > 1").select("k"), "k", "left_semi")
+    both = shared.join(classes.select("c", "sig"), "c").select("k", "c", "sig")
+    return both.repartition("k").sortWithinPartitions("k", "c").mapInArrow(meet, "a long, b long").distinct()
 
 
 def _open_pairs(sig: np.ndarray, label: np.ndarray, p: np.ndarray, band: int, bands: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
     """Each place with the later ones alike by least that have another label by then.
 
-    Pairs that meet in an earlier band are left to it; number `bands` is no band and leaves none. p: the part of each place; with two parts only the
-    pairs across them count, as those inside a part have a group of their own.
+    Pairs that meet in an earlier band are left to it; number `bands` is no band and leaves none. p: the
+    part of each place; with two parts only the pairs across them count, as those inside a part have a group
+    of their own.
     """
     size, across = sig.shape[1] // bands, (p != p[0]).any()
     band %= bands
@@ -252,102 +220,151 @@ def _by_group(t: pa.Table) -> Iterator[tuple[pa.Table, tuple]]:
     for s, n in zip(start.tolist(), np.diff(np.r_[start, len(g)]).tolist(), strict=True):
         x = t.slice(s, n)
         sig = np.frombuffer(b"".join(x["sig"].to_pylist()), np.uint16).reshape(n, -1)
-        yield x, (sig, x["part"].to_numpy().copy(), x["p"].to_numpy(), x["i"][0].as_py())
+        yield x, (sig, np.arange(n), x["p"].to_numpy(), x["i"][0].as_py())
 
 
-def unjoined_links(classes: DataFrame, parts: DataFrame, sets: DataFrame, read: Callable[[object], np.ndarray], threshold: float = 0.8, bands: int = 25, most: int = 64, rows: int = PART_ROWS, shingles: int = PART_SHINGLES, further: DataFrame | None = None) -> DataFrame | None:
-    """a, b: links between parts that the pairs of buckets of over `most` classes give; None if there are none.
+def verified_links(groups: DataFrame, read: Callable[[str], np.ndarray], threshold: float, bands: int) -> DataFrame:
+    """a, b: links that connect all classes of a group by pairs of Jaccard similarity threshold or more.
 
-    classes: c, sig, w (shingles in its set); parts: c, part, as verified links have joined them so far;
-    sets: c and x, of which read makes the sorted set. All pairs of a bucket that are in different parts,
-    and alike by threshold - 0.15, are verified by Jaccard or joined by verified links on the way. Buckets
-    are dealt out in parts of about `rows` classes and `shingles`, every two of them a group of its own.
-    Signatures tell first which classes have such a pair; only their sets follow. further: more buckets
-    (columns k, c), of any size over two.
+    groups: g, i, p, c, sig and the class's text x, of which read makes the sorted set. Every pair of a
+    group that is alike by threshold - GATE is verified on its sets, or joined by verified links already.
     """
-    least = threshold - 0.15
-
-    def waiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _ in complete_groups(batches, "g", 2**62):
-            for x, (sig, label, p, band) in _by_group(t):
-                met = np.zeros(len(sig), bool)
-                for i, at in _open_pairs(sig, label, p, band, bands, least):
-                    met[i] = met[at] = True
-                yield from x.select(["g", "i", "p", "c"]).filter(pa.array(met)).combine_chunks().to_batches()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _ in complete_groups(batches, "g", 2**62, 1):
+        for t, _ in complete_groups(batches, "g", 2**62, VERIFIED_TOGETHER):
             g, c = t["g"].to_numpy(), t["c"].to_numpy()
             t = t.filter(pa.array(np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])]))  # repeated rows
+            a, b = [], []
             for x, (sig, label, p, band) in _by_group(t):
-                found = [read(s) for s in x["x"].to_pylist()]
-                n, part, a, b = np.array([len(s) for s in found]), label.copy(), [], []
-                start = np.r_[0, np.cumsum(n)]
+                found = [read(text) for text in x["x"].to_pylist()]
+                c, size = x["c"].to_numpy(), np.array([len(h) for h in found])
+                start = np.r_[0, np.cumsum(size)]
                 names, place = np.unique(np.concatenate(found), return_inverse=True)
                 mine = np.zeros(len(names), bool)
-                for i, at in _open_pairs(sig, label, p, band, bands, least):
-                    mine[:] = False
-                    mine[place[start[i] : start[i + 1]]] = True
+                for i, at in _open_pairs(sig, label, p, band, bands, threshold - GATE):
+                    own = place[start[i] : start[i + 1]]
+                    mine[own] = True
                     first = start[at[0]]
-                    total = np.r_[0, np.cumsum(mine[place[first : start[at[-1] + 1]]])]
-                    both = total[start[at + 1] - first] - total[start[at] - first]
-                    at = at[both >= threshold * (n[i] + n[at] - both)]
+                    upto = np.r_[0, np.cumsum(mine[place[first : start[at[-1] + 1]]])]
+                    mine[own] = False
+                    both = upto[start[at + 1] - first] - upto[start[at] - first]
+                    at = at[both >= threshold * (size[i] + size[at] - both)]
                     if len(at):
-                        a += [part[i]] * len(at)
-                        b += part[at].tolist()
+                        a += [c[i]] * len(at)
+                        b += c[at].tolist()
                         label[np.isin(label, label[at])] = label[i]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    spread = classes.select(F.posexplode(band_keys(bands)).alias("i", "k"), "c")
-    if further is not None:
-        spread = spread.unionByName(further.select(F.lit(bands).alias("i"), "k", "c"))
-    large = written(spread.groupBy("i", "k").count().where(F.col("count") > F.when(F.col("i") < bands, most).otherwise(2)).select("i", "k"))
-    if large.isEmpty():
-        return None
-    members = written(spread.join(large, ["i", "k"]).join(classes.select("c", "w"), "c").join(parts, "c").select("i", "k", "c", "w", "part"))
-    n = F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("w") / shingles)).cast("int").alias("n")
-    deal = members.groupBy("i", "k").agg(n, F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("i", "k", "n")
-    dealt = members.join(deal, ["i", "k"]).withColumn("p", F.pmod(F.xxhash64("c", F.lit(1)), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select(F.xxhash64("i", "k", F.least("p", "o"), F.greatest("p", "o")).alias("g"), "i", "p", "c", "part")
-    order = lambda t: t.repartition("g").sortWithinPartitions("g", "c")
-    some = written(order(dealt.join(classes.select("c", "sig"), "c")).mapInArrow(waiting, "g long, i int, p int, c long"))
-    if some.isEmpty():
-        return None
-    whole = some.join(classes.select("c", "sig"), "c").join(parts, "c").join(sets, "c")
-    return order(whole.select("g", "i", "p", "c", "part", "sig", "x")).mapInArrow(check, "a long, b long")
+    return groups.repartition("g").sortWithinPartitions("g", "c").mapInArrow(check, "a long, b long")
 
 
-def joined_further(parts: DataFrame, links: DataFrame | None) -> DataFrame:
-    """parts (c, part) after links between parts."""
-    if links is None:
-        return parts
-    more = connected_components(links)
-    return parts.join(more, parts["part"] == more["node"], "left").select("c", F.coalesce("component", "part").alias("part"))
+def dealt_links(classes: DataFrame, sets: DataFrame, read: Callable[[str], np.ndarray], threshold: float, bands: int, further: DataFrame, rows: int = PART_ROWS, shingles: int = PART_SHINGLES) -> DataFrame:
+    """verified_links of classes (c, sig, w) that share a band or a bucket of further (k, c), however many do.
 
+    Each bucket is dealt out in parts of about `rows` classes and `shingles`, every two of them a group of
+    its own. Signatures tell first which classes of a group have a pair to verify; only their texts follow.
+    """
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, permutations: int = PERMUTATIONS, width: int = WIDTH, most: int = 64) -> DataFrame:
-    """doc_id, class_id (smallest doc_id with an equal shingle set's text) and group_id of every row.
+    def waiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _ in complete_groups(batches, "g", 2**62):
+            for x, (sig, label, p, band) in _by_group(t):
+                met = np.zeros(len(sig), bool)
+                for i, at in _open_pairs(sig, label, p, band, bands, threshold - GATE):
+                    met[i] = met[at] = True
+                yield from x.select(["g", "i", "p", "c"]).filter(pa.array(met)).combine_chunks().to_batches()
 
-    Texts with the same words are one class. Candidates come from band_pairs; they are verified by the
-    Jaccard similarity of their five-word shingle sets; links of at least the threshold join groups.
-    """
+    spread = classes.select(F.posexplode(band_keys(bands)).alias("i", "k"), "c").unionByName(further.select(F.lit(bands).alias("i"), "k", "c"))
+    members = written(spread.join(classes.select("c", "w"), "c"))
+    n = F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("w") / shingles)).cast("int").alias("n")
+    deal = members.groupBy("i", "k").agg(n, F.count("*").alias("all")).where("all > 1").select("i", "k", "n")
+    dealt = members.join(deal, ["i", "k"]).withColumn("p", F.pmod(F.xxhash64("c", F.lit(1)), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select(F.xxhash64("i", "k", F.least("p", "o"), F.greatest("p", "o")).alias("g"), "i", "p", "c")
+    some = dealt.join(classes.select("c", "sig"), "c").repartition("g").sortWithinPartitions("g", "c").mapInArrow(waiting, "g long, i int, p int, c long")
+    return verified_links(some.join(classes.select("c", "sig"), "c").join(sets, "c"), read, threshold, bands)
+
+
+def near_classes(
+    docs: DataFrame, hashes: Callable[[str], np.ndarray], threshold: float = 0.8, bands: int = 25, permutations: int = PERMUTATIONS,
+    mark: Callable[[np.ndarray], int] | None = None, proposed: Callable[[DataFrame, int], DataFrame] | None = None, with_rows: bool = False,
+    most: int = 64, rows: int = PART_ROWS, shingles: int = PART_SHINGLES,
+) -> tuple[DataFrame, DataFrame]:
+    """Classes with their part (c, _id, _h, part), and rows with their class (_id, _h, c; written if with_rows).
+
+    A class is the rows whose texts have one set of hashes; _id and _h are those of its first row. A part is
+    what links of Jaccard similarity threshold or more between classes reach. Candidates are the classes
+    that agree in a band of their signatures, and what proposed links by the print that mark makes (column
+    fp). What candidates connect is one group, each class once; groups of more than `rows` classes or
+    `shingles` are dealt out by their buckets (dealt_links). All pairs of a group, or of a bucket, that are
+    alike by threshold - GATE are verified on whole texts.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingles(t, width, edges=False)) for t in b["_t"].to_pylist()]
-            sigs = [signature(s, permutations).tobytes() for s in sets]
-            marks = [hashlib.md5(s.tobytes()).hexdigest() for s in sets]
-            yield pa.RecordBatch.from_arrays([b["_id"], pa.array(marks), pa.array(sigs, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["_id", "mark", "sig", "set"])
+            prints, names, sigs, sizes = [], [], [], []
+            for text in b["_t"].to_pylist():
+                h = hashes(text)
+                prints.append(mark(h) if mark and len(h) else 0)
+                h = np.unique(h)
+                names.append(int.from_bytes(hashlib.md5(h.tobytes()).digest()[:8], "little", signed=True))
+                sigs.append(signature(h, permutations).tobytes())
+                sizes.append(len(h))
+            fp = pa.array(np.array(prints, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b["_id"], b["_h"], fp, pa.array(names, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["_id", "_h", "fp", "c", "sig", "w"])
+
+    def read(text: str) -> np.ndarray:
+        return np.unique(hashes(text))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Repeated rows come one after the other from a sorted join; only the first goes on."""
+        last = None
+        for b in batches:
+            c = b["c"].to_numpy()
+            yield b.filter(pa.array(np.r_[c[:1] != last, c[1:] != c[:-1]][: len(c)].astype(bool)))
+            last = c[-1] if len(c) else last
 
     bounded_batches(docs.sparkSession)
-    rows = written(keyed(docs).select("_id", "_t").mapInArrow(sketch, "_id long, mark string, sig binary, set array<long>"))
-    classes = rows.groupBy("mark").agg(F.min("_id").alias("c"))
-    sets = written(rows.join(classes, "mark").where("_id = c").dropDuplicates(["c"]).select("c", "sig", "set"))
-    pairs = band_pairs(sets.where(F.size("set") > 0), threshold, bands, most)
-    x, y = sets.select(F.col("c").alias("a"), F.col("set").alias("x")), sets.select(F.col("c").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
-    links = both.where(F.col("n") >= threshold * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
-    groups = connected_components(links)
-    out = rows.select("_id", "mark").join(classes, "mark")
-    out = out.join(groups, out["c"] == groups["node"], "left")
-    return out.select(doc_id(), F.col("c").alias("class_id"), F.coalesce("component", "c").alias("group_id")).withColumns({c: F.when(F.col(c) != NULL_ID, F.col(c)) for c in ("class_id", "group_id")})
+    texts = keyed(docs)
+    size = docs.select("doc_id").count()
+    sketches = texts.mapInArrow(sketch, "_id long, _h long, fp long, c long, sig binary, w long")
+    sketches = written(sketches) if with_rows else sketches
+    classes = sketches.groupBy("c").agg(F.min(F.struct("_id", "_h", "fp", "sig", "w")).alias("x"))
+    classes = written(classes.select("c", *(f"x.{x}" for x in ("_id", "_h", "fp", "sig", "w"))), SIGNATURE_ROWS * size)
+    links = band_links(classes.where("w > 0").select("c", "sig"), threshold, bands, most)
+    if proposed:
+        nodes = classes.groupBy("fp").agg(F.min("c").alias("n"))
+        equal = classes.select("c", "fp").join(nodes, "fp").where("c != n").select(F.col("n").alias("a"), F.col("c").alias("b"))
+        by_print = proposed(nodes, size).join(nodes.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
+        by_print = equal.unionByName(by_print.select(F.col("na").alias("a"), F.col("nb").alias("b")))
+        links = links.unionByName(by_print)
+    groups = connected_components(links, nodes=size)
+    member = classes.join(groups, F.col("c") == F.col("node")).select("c", "_id", "_h", "sig", "w", F.col("component").alias("g"))
+    large = groups.join(classes.select("c", "w"), F.col("c") == F.col("node")).groupBy("component").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    large = written(large.where((F.col("n") > rows) | (F.col("w") > shingles)).select(F.col("component").alias("g")), size // rows)
+    sets = lambda some: some.select("c", "_id", "_h").join(texts, ["_id", "_h"]).select("c", F.col("_t").alias("x"))
+    if large.isEmpty():
+        small, more = member, None
+    else:
+        small, dealt = member.join(large, "g", "left_anti"), written(member.join(large, "g", "left_semi"))
+        buckets = connected_components(by_print).select(F.col("component").alias("k"), F.col("node").alias("c")) if proposed else dealt.select(F.lit(0).cast("long").alias("k"), "c").limit(0)
+        more = dealt_links(dealt.select("c", "sig", "w"), sets(dealt), read, threshold, bands, buckets.join(dealt.select("c"), "c", "left_semi"), rows, shingles)
+    one = small.join(texts, ["_id", "_h"]).select("g", F.lit(bands).alias("i"), F.lit(0).alias("p"), "c", "sig", F.col("_t").alias("x"))
+    found = verified_links(one.mapInArrow(once, one.schema), read, threshold, bands)
+    joined = connected_components(found if more is None else found.unionByName(more), nodes=size)
+    parts = classes.join(joined, F.col("c") == F.col("node"), "left").select("c", "_id", "_h", F.coalesce("component", "c").alias("part"))
+    return parts, sketches.select("_id", "_h", "c")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH, **options) -> DataFrame:
+    """doc_id, class_id and group_id of every row of docs (columns doc_id, text).
+
+    class_id is the smallest doc_id whose text has the same set of runs of `width` words, group_id the
+    smallest that links of Jaccard similarity threshold or more between such sets reach (near_classes).
+    Texts without words, null included, are one class; a null doc_id sorts first and names its group null;
+    repeated rows, and different texts with one doc_id, get a row each; very long texts are read whole; no
+    rows, no result.
+    """
+    parts, rows = near_classes(docs, lambda text: shingles(text, width, edges=False), threshold, with_rows=True, **options)
+    named = parts.groupBy("part").agg(F.min("_id").alias("group_id"))
+    names = parts.join(named, "part").select("c", F.col("_id").alias("class_id"), "group_id")
+    out = rows.join(names, "c")
+    return out.select(doc_id(), *(doc_id(x).alias(x) for x in ("class_id", "group_id")))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Remembered, bounded_batches, coded_words, doc_id, keyed, process_wide, written
+from ._shared import Remembered, bounded_batches, coded_words, doc_id, files_for, keyed, process_wide, written
 
 #: Tokens packed in one group.
 GROUP = 8_000_000
@@ -226,6 +226,6 @@ def query(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, g
     Null text counts as empty and gives the end id alone. Repeated rows are packed once each. A null
     doc_id stays null. An empty table gives an empty result.
     """
-    pieces = written(token_pieces(docs, tokenizer or default_tokenizer(), capacity))
+    pieces = written(token_pieces(docs, tokenizer or default_tokenizer(), capacity).repartition(files_for(docs.select("doc_id").count())))
     out = packed(pieces, capacity, group)
     return out.select(doc_id(), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_suffix": _over("documents", suffix.query),
         "op7_packing": _over("documents", packing.query),
         "op8_minhash": _over("documents", minhash.query),
+        "minhash_near_duplicates": _over("documents", minhash.near_duplicates),
         "op9_rlz": _over("documents", rlz.query),
         "op10_weaklabel": _over("documents", weaklabel.query),
     }

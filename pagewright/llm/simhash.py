@@ -7,17 +7,16 @@ all of them, so every pair within the radius meets in one of the 2^(r+1) - 1 tab
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from ._shared import bounded_batches, complete_groups, connected_components, doc_id, keyed, row_key, written
+from ._shared import bounded_batches, complete_groups, connected_components, doc_id, files_for, keyed, row_key, written
 
 #: A bucket of more fingerprints than this goes on to finer tables.
 BUCKET = 8192
@@ -53,7 +52,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["_id"], b["_h"], pa.array(fps.view(np.int64))], names=["_id", "_h", "fp"])
 
     bounded_batches(docs.sparkSession)
-    return keyed(docs).mapInArrow(run, "_id long, _h int, fp long")
+    return keyed(docs).mapInArrow(run, "_id long, _h long, fp long")
 
 
 def cover(radius: int, turn: int = 0) -> list[int]:
@@ -105,8 +104,8 @@ def _bucket_links(k: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarray
     return np.concatenate(a or [none]), np.concatenate(b or [none])
 
 
-def covering_links(prints: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """a, b: links that connect all distinct prints (column fp) within the radius of each other.
+def covering_links(prints: DataFrame, size: int, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """a, b: links that connect all distinct prints (column fp, about `size` rows) within the radius of each other.
 
     A table's buckets are streamed in key order. In a bucket each print is linked to the first that
     reaches it, so copies of a kind give a tree and not all their pairs. A bucket of more than `bucket`
@@ -139,7 +138,7 @@ def covering_links(prints: DataFrame, radius: int = 3, bucket: int = BUCKET) ->
     for turn in range(LEVELS + 1):
         last = turn == LEVELS
         keys = blocks(rows) if last else table(rows, turn)
-        out = written(keys.repartition("k").sortWithinPartitions("k").mapInArrow((lambda bs: run(bs, 2**62)) if last else run, schema))
+        out = written(keys.repartition("k").sortWithinPartitions("k").mapInArrow((lambda bs: run(bs, 2**62)) if last else run, schema), 8 * size)
         found.append(out.where("k is null").select("a", "b"))
         rows = out.where("k is not null").select("k", F.col("a").alias("fp"))
         if last or rows.isEmpty():
@@ -159,13 +158,14 @@ def near_components(docs: DataFrame, width: int = 3, radius: int = 3, bucket: in
     print zero, which links like any other. Null doc_id sorts first. Repeated rows share one node. An
     empty table gives an empty result.
     """
-    rows = written(fingerprints(docs, width))
+    size = docs.select("doc_id").count()
+    rows = written(fingerprints(docs, width).repartition(files_for(size)))
     nodes = rows.groupBy("fp").agg(F.min("_id").alias("rep"))
-    parts = connected_components(covering_links(nodes, radius, bucket))
+    parts = connected_components(covering_links(nodes, size, radius, bucket), nodes=size)
     # the component's own name is a print; its smallest doc_id becomes component_id
     member = nodes.join(parts, nodes["fp"] == parts["node"], "left").select(nodes["fp"], "rep", F.coalesce("component", nodes["fp"]).alias("c"))
     best = member.groupBy("c").agg(F.min("rep").alias("component_id"))
-    lookup = written(member.join(best, "c").select("fp", "component_id"))
+    lookup = written(member.join(best, "c").select("fp", "component_id"), size)
     return rows.join(lookup, "fp").select("_id", "_h", "fp", "component_id")
 
 
@@ -175,86 +175,25 @@ def query(docs: DataFrame) -> DataFrame:
     return out.select(doc_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), doc_id("component_id").alias("component_id"))
 
 
-def _text_key(docs: DataFrame) -> tuple[Column, Column]:
-    """row_key with 64 bits of the text: a table may have one id, or none, for all its rows."""
-    return row_key(docs)[0], F.xxhash64(docs["text"].cast("string")).alias("_h")
+def near_classes(docs: DataFrame, width: int = 5, radius: int = 3, threshold: float = 0.8, **options) -> DataFrame:
+    """c, _id, _h and part of every class of texts with one set of runs of width words (minhash.near_classes).
 
-
-def near_classes(docs: DataFrame, width: int = 5, radius: int = 3, threshold: float = 0.8, salts: int = 64) -> DataFrame:
-    """_id, _h and part: a class is the rows with one set of runs of width words; of each class its smallest
-    _id, that row's _h, and the name of the part that links of Jaccard similarity threshold or more reach.
-
-    Candidates are the classes whose prints covering_links joins, and those of minhash.band_pairs: near
-    the threshold most prints differ in more bits than covering masks can drop (see the README). Every
-    candidate is verified on the whole texts: a pair's second text goes to a group of the first, of which
-    there are up to `salts`, so a class with many partners is not one task's work. The pairs of large
-    buckets, and of components of prints, that these links have not joined are verified by minhash.unjoined_links.
+    covering_links proposes the classes whose prints lie within the radius, beside the bands of MinHash: near
+    the threshold most prints differ in more bits than covering masks can drop (see the README).
     """
+    return minhash.near_classes(docs, lambda text: shingle_hashes(text, width), threshold, mark=majority, proposed=lambda prints, size: covering_links(prints, size, radius), **options)[0]
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            prints, marks, sigs, sizes = [], [], [], []
-            for text in b["_t"].to_pylist():
-                h = shingle_hashes(text, width)
-                prints.append(majority(h) if len(h) else 0)
-                h = np.unique(h)
-                marks.append(hashlib.md5(h.tobytes()).digest())
-                sigs.append(minhash.signature(h).tobytes())
-                sizes.append(len(h))
-            fp = pa.array(np.array(prints, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b["_id"], b["_h"], fp, pa.array(marks, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["_id", "_h", "fp", "mark", "sig", "w"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        center, mine = None, np.empty(0, np.uint64)
-        for b in batches:
-            links = []
-            for a, salt, leaf, text in zip(*(b[c].to_pylist() for c in ("a", "salt", "leaf", "_t")), strict=True):
-                h = np.unique(shingle_hashes(text, width))
-                if leaf is None:
-                    center, mine = (a, salt), h
-                elif center == (a, salt):
-                    both = len(np.intersect1d(mine, h, assume_unique=True))
-                    if both >= threshold * (len(mine) + len(h) - both):
-                        links.append((a, leaf))
-            a, leaf = zip(*links, strict=True) if links else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(leaf, pa.int64())], names=["a", "b"])
 
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(*_text_key(docs), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_t"))
-    first = F.min(F.struct("_id", "_h", "fp", "sig", "w")).alias("x")
-    # different texts can share a doc_id, so a class is numbered by its set
-    classes = rows.mapInArrow(sketch, "_id long, _h long, fp long, mark binary, sig binary, w long").groupBy("mark").agg(first)
-    classes = written(classes.select(F.xxhash64("mark").alias("c"), F.col("x._id").alias("_id"), F.col("x._h").alias("_h"), F.col("x.fp").alias("fp"), F.col("x.sig").alias("sig"), F.col("x.w").alias("w")))
-    nodes = classes.groupBy("fp").agg(F.min("c").alias("n"))
-    by_print = covering_links(nodes, radius).join(nodes.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
-    equal = classes.select("c", "fp").join(nodes, "fp").where("c != n")
-    pairs = minhash.band_pairs(classes.select("c", "sig"), threshold)
-    pairs = pairs.unionByName(by_print.select(F.col("na").alias("a"), F.col("nb").alias("b"))).unionByName(equal.select(F.col("n").alias("a"), F.col("c").alias("b")))
-    pairs = written(pairs.distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")))
-    sides = pairs.select("a", "salt", F.col("b").alias("leaf"), F.col("b").alias("c")).unionByName(pairs.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long").alias("leaf"), F.col("a").alias("c")))
-    wanted = sides.join(classes.select("c", "_id", "_h"), "c").drop("c")
-    texts = wanted.join(rows, ["_id", "_h"]).select("a", "salt", "leaf", "_t")
-    links = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("leaf")).mapInArrow(check, "a long, b long")
-    joined = connected_components(links)
-    parts = written(classes.select("c").join(joined, F.col("c") == F.col("node"), "left").select("c", F.coalesce("component", "c").alias("part")))
-    sets = classes.select("c", "_id", "_h").join(rows, ["_id", "_h"]).select("c", F.col("_t").alias("x"))
-    # print links are proposals: a tree's failed link must not part the members behind it
-    near = connected_components(by_print, "na", "nb")
-    by_component = classes.select("c", "fp").join(nodes, "fp").join(near, F.col("n") == near["node"], "left").select(F.coalesce("component", "n").alias("k"), "c")
-    further = minhash.unjoined_links(classes.select("c", "sig", "w"), parts, sets, lambda text: np.unique(shingle_hashes(text, width)), threshold, further=by_component)
-    return classes.select("c", "_id", "_h").join(minhash.joined_further(parts, further), "c").select("_id", "_h", "part")
-
-
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 3, threshold: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, radius: int = 3, threshold: float = 0.8, **options: int) -> DataFrame:
     """docs without all but one row of each group of near copies: the row with the smallest doc_id stays.
 
     Near copies share threshold of their sets of runs of width words (near_classes). Texts without words,
     null included, are one group. Each group keeps one row, whatever ids its rows have: different texts with
-    null or equal doc_ids stay apart. Of equal doc_ids in a group the text with the smallest hash stays, of
-    repeated rows the one with the smallest hash of all its columns.
+    null or equal doc_ids stay apart (by 64-bit hashes). Of equal doc_ids in a group the text with the
+    smallest hash stays, of repeated rows the one with the smallest hash of all its columns. Very long texts
+    are compared whole; other columns, whatever their names, are unchanged; no rows, no result.
     """
-    kept = near_classes(docs, width, radius, threshold).groupBy("part").agg(F.min(F.struct("_id", "_h")).alias("x")).select("x._id", "x._h")
-    tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *_text_key(docs))
-    joined = tagged.join(kept, ["_id", "_h"])
-    one = joined.groupBy("_id", "_h").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
-    return one.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    kept = near_classes(docs, width, radius, threshold, **options).groupBy("part").agg(F.min(F.struct("_id", "_h")).alias("x")).select("x._id", "x._h")
+    tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *row_key(docs))
+    one = tagged.groupBy("_id", "_h").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return one.join(kept, ["_id", "_h"]).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -15,6 +15,32 @@ def texts(n=90):
     return [(i * 5, " ".join(r.choices(words, k=r.choice([0, 1, 3, 40, 400])))) for i in range(n)] + [(7, None), (None, "null id é"), (10, "again"), (10, "again")]
 
 
+MASK = 2**64 - 1
+
+
+def slow_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def slow_signature(text):
+    """128 permutations of the runs of five words, blank words at both ends, in plain integers."""
+    import xxhash
+
+    words = [xxhash.xxh64_intdigest(w) for w in text.encode().split()]
+    if not words:
+        return [0xFFFF] * 128
+    words, runs = [0] * 4 + words + [0] * 4, set()
+    for i in range(len(words) - 4):
+        h = 0
+        for x in words[i : i + 5]:
+            h = (h * 0x9E3779B97F4A7C15 + x) & MASK
+        runs.add(slow_mix(h))
+    seeds = [slow_mix(i * 0x9E3779B97F4A7C15 & MASK) for i in range(1, 257)]
+    return [slow_mix(min((h * (a | 1) + b) & MASK for h in runs)) >> 48 for a, b in zip(seeds[:128], seeds[128:], strict=True)]
+
+
 @pytest.mark.parametrize("range_rows", [4000, 10, 1])
 def test_edited_texts_and_likeness(spark, range_rows):
     rows = texts()
@@ -24,12 +50,28 @@ def test_edited_texts_and_likeness(spark, range_rows):
     for (d, t), (_, nxt) in zip(order, [*order[1:], order[0]], strict=True):
         m = len(t) // 3
         new = t[: len(t) - m] + nxt[:m]
-        s, e, f = (minhash.signature(minhash.shingles(x)) for x in (t, new, nxt))
-        want.append((None if d == low else d, len(t), hashlib.sha256(new.encode()).hexdigest(), s.astype(">u2").tobytes().hex(), e.astype(">u2").tobytes().hex(), minhash.likeness(s, e), minhash.likeness(s, f)))
+        s, e, f = map(slow_signature, (t, new, nxt))
+        alike = lambda x, y: sum(a == b for a, b in zip(x, y, strict=True)) / 128
+        want.append((None if d == low else d, len(t), hashlib.sha256(new.encode()).hexdigest(), "".join(f"{x:04x}" for x in s), "".join(f"{x:04x}" for x in e), alike(s, e), alike(s, f)))
     got = minhash.query(spark.createDataFrame(rows, SCHEMA).repartition(3), range_rows=range_rows).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{i % 977}" for i in range(70_000))
+    docs = spark.createDataFrame([(2, long, 5, "x"), (1, "short", 6, None)], SCHEMA + ", _id long, fingerprint string")
+    got = {r.doc_id: r for r in minhash.query(docs).collect()}
+    assert got[2].n_chars == len(long) and got[2].near_next == 0.0 and got[1].near_next == 0.0
+    assert got[1].edited_sha256 == hashlib.sha256(b"shor" + long[:1].encode()).hexdigest()
+
+
+def test_groups_of_rows_without_ids_and_ids_of_many_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(None, a), (None, b), (4, b + " more"), (4, a + " more"), (4, "a b c d e f"), (9, a), (9, a)]
+    got = minhash.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", c long").repartition(3)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, None, None), (None, None, None), (4, 4, None), (4, 4, None), (4, 4, 4), (9, None, None), (9, None, None)]))
+
+
 def test_small_tables(spark):
     one = spark.createDataFrame([(3, "a b c d e f")], SCHEMA)
     r = minhash.query(one).first()

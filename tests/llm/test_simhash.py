@@ -70,7 +70,7 @@ def test_edge_cases(spark):
     out = {tuple(r) for r in simhash.query(docs).collect()}
     assert {r[0] for r in out} == {None, 5} and {r[2] for r in out} == {None}
     assert simhash.query(docs.limit(0)).collect() == []
-    assert sorted(map(str, (r.doc_id for r in simhash.keep_one(docs).collect()))) == ["None"]
+    assert sorted(str((r.doc_id, r.text)) for r in simhash.keep_one(docs).collect()) == ["(None, 'a b c')", "(None, None)"]
     assert simhash.keep_one(docs).columns == docs.columns
 
 
@@ -100,13 +100,11 @@ def kept_by_brute_force(rows):
     return sorted(best.values())
 
 
-@pytest.mark.parametrize("most, limit", [(64, 8192), (2, 8192), (2, 8)])
-def test_keep_one_equals_brute_force(spark, monkeypatch, most, limit):
-    whole = minhash.band_pairs
-    monkeypatch.setattr(minhash, "band_pairs", lambda rows, threshold: whole(rows, threshold, most=most, limit=limit))
+@pytest.mark.parametrize("most, part", [(64, 2048), (2, 2048), (2, 4), (64, 1)])
+def test_keep_one_equals_brute_force(spark, most, part):
     rows = near_texts()
     docs = spark.createDataFrame([(d, t, None, None, 1) for d, t in rows], SCHEMA).repartition(3)
-    got = simhash.keep_one(docs).collect()
+    got = simhash.keep_one(docs, most=most, rows=part).collect()
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == kept_by_brute_force(rows)
     text = dict(rows)
     assert all(r.text == text[r.doc_id] for r in got)
@@ -130,8 +128,46 @@ def test_keep_one_keeps_a_row_of_each_group_whatever_its_id(spark):
 
 def test_near_copies_of_one_print_behind_a_failed_link(spark, monkeypatch):
     # a repeated run sets the print and counts once in a set; without bands only prints give candidates
-    monkeypatch.setattr(minhash, "band_pairs", lambda rows, threshold: rows.select(rows["c"].alias("a"), rows["c"].alias("b")).limit(0))
+    monkeypatch.setattr(minhash, "band_links", lambda rows, *_: rows.select(rows["c"].alias("a"), rows["c"].alias("b")).limit(0))
     rows = [(i, "over " * 2000 + " ".join(f"w{i // 2}x{j}" for j in range(60)) + " end" * (i % 2)) for i in range(24)]
     assert len({simhash.majority(simhash.shingle_hashes(t, 5)) for _, t in rows}) == 1
     docs = spark.createDataFrame([(d, t, None, None, 1) for d, t in rows], SCHEMA)
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == list(range(0, 24, 2))
+
+
+def test_a_large_family_is_one_group(spark):
+    # most pairs lie below the threshold, a few texts with fewer changes link all others
+    r = random.Random(7)
+    base = [f"b{i}" for i in range(2000)]
+    rows, sets = [], []
+    for i in range(300):
+        w, changed = list(base), r.sample(range(2000), 16 if i % 50 == 3 else 26)
+        for j in changed:
+            w[j] = f"x{i}y{j}"
+        rows.append((i, " ".join(w)))
+        sets.append(np.convolve(np.isin(np.arange(2000), changed), np.ones(5), "valid") < 0.5)
+    m = np.array(sets, np.float32)
+    both = m @ m.T
+    linked = both >= 0.8 * (2 * 1996 - both)
+    seen, todo = {0}, [0]
+    while todo:
+        for j in np.flatnonzero(linked[todo.pop()]).tolist():
+            if j not in seen:
+                seen.add(j)
+                todo.append(j)
+    assert len(seen) == 300 and linked.mean() < 0.2
+    docs = spark.createDataFrame([(d, t, None, None, 1) for d, t in rows], SCHEMA).repartition(4)
+    assert [r.doc_id for r in simhash.keep_one(docs).collect()] == [0]
+    assert [r.doc_id for r in simhash.keep_one(docs, most=8, rows=100).collect()] == [0]
+
+
+def test_long_and_repeated_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{i % 7919}x{i % 31}" for i in range(60_000))
+    rows = [(1, long), (2, long + " more"), (3, "a b c d e f"), (3, "a b c d e f"), (None, None), (4, "")]
+    docs = spark.createDataFrame([(d, t, None, None, 1, "x", i) for i, (d, t) in enumerate(rows)], SCHEMA + ", _h string, c long").repartition(3)
+    got = simhash.keep_one(docs, shingles=1000)
+    assert got.columns == docs.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "3", "None"]
+    by = {}
+    for r in simhash.query(docs).collect():
+        by.setdefault(r.doc_id, set()).add((r.fingerprint, r.component_id))
+    assert len(by[3]) == 1 and by[None] == by[4]
