@@ -1,7 +1,7 @@
 """The eleven checks as columns over two frames: blocks with their neighbours, documents with their facts.
 
 A check gives a struct (item_ord, message, block_index, text) or null for a row, so any set of checks is
-one pass: one window per document over the blocks, one aggregate of headings joined to the documents.
+one pass: one window per document over the blocks, and one aggregate of the same rows beside the documents.
 """
 
 from __future__ import annotations
@@ -115,13 +115,12 @@ BLOCK_CHECKS: dict[str, Check] = {
 }
 
 
-def with_facts(docs: DataFrame, blocks: DataFrame, structure: dict) -> DataFrame:
-    """docs with the number of headings and, for each configured section, where its first heading is."""
-    sections = structure["sections"]
-    heads = blocks.where(_is("heading")).select("doc_id", "index", normal_heading(F.col("text")).alias("name"))
-    places = [F.min(F.when(F.col("name").isin(names), F.col("index")) if (names := accepted_names(s)) else F.lit(None).cast("int")).alias(f"place_{i}") for i, s in enumerate(sections)]
-    facts = heads.groupBy("doc_id").agg(F.count("*").alias("headings"), *places)
-    return docs.join(facts, "doc_id", "left")
+def heading_facts(structure: dict) -> list[Column]:
+    """Of a document's blocks: how many headings, if any, and where the first heading of each configured section is."""
+    heading, name = _is("heading"), normal_heading(F.col("text"))
+    first = lambda names: F.min(F.when(heading & name.isin(names), F.col("index"))) if names else F.max(F.lit(None).cast("int"))
+    count = F.count(F.when(heading, 1))
+    return [F.when(count > 0, count).alias("headings"), *(first(accepted_names(s)).alias(f"place_{i}") for i, s in enumerate(structure["sections"]))]
 
 
 def no_headings(structure: dict, styles: dict) -> Column:
@@ -158,3 +157,5 @@ def section_order(structure: dict, styles: dict) -> Column:
 DOC_CHECKS: dict[str, Check] = {
     "heading-hierarchy": no_headings, "toc-present": toc_present, "toc-linked": toc_linked, "required-sections": required_sections, "section-order": section_order,
 }
+#: Document checks that look at headings.
+NEED_HEADINGS = {"heading-hierarchy", "required-sections", "section-order"}

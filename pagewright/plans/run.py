@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import STRUCTURE, STYLES
-from ..operators.checks import BLOCK_CHECKS, CHECKS, DOC_CHECKS, with_facts, with_neighbours
+from ..operators.checks import BLOCK_CHECKS, CHECKS, DOC_CHECKS, NEED_HEADINGS, heading_facts, with_neighbours
 from ..schema import Corpus
 
 # Display names of the checks.
@@ -34,26 +32,31 @@ def enabled_checks(styles: dict | None = None) -> list[str]:
 
 
 def run_checks(corpus: Corpus, structure: dict | None = None, styles: dict | None = None, only: list[str] | None = None) -> DataFrame:
-    """Issues of the enabled checks (of those in `only`); a check that is off leaves no trace in the plan."""
+    """Issues of the enabled checks (of those in `only`); a check that is off leaves no trace in the plan.
+
+    One pass: the blocks are dealt out and sorted by document once; what the block checks find and what the
+    document checks need to know of headings are gathered in the same order, next to the documents.
+    """
     structure, styles = structure or STRUCTURE, styles or STYLES
     names = [c for c in enabled_checks(styles) if only is None or c in only]
-    parts = []
-
-    def issues(rows: DataFrame, found) -> DataFrame:
-        i = rows.select("doc_id", F.explode(found).alias("i"))
-        return i.select("doc_id", "i.check_ord", "i.issue.item_ord", "i.check", "i.issue.message", "i.issue.block_index", "i.issue.text")
-
     tag = lambda c, issue: F.when(issue.isNotNull(), named(c)(issue))
     named = lambda c: lambda x: F.struct(F.lit(CHECKS.index(c)).alias("check_ord"), F.lit(c).alias("check"), x.alias("issue"))
-    if own := [c for c in names if c in BLOCK_CHECKS]:
-        parts.append(issues(with_neighbours(corpus.blocks), F.array_compact(F.array(*(tag(c, BLOCK_CHECKS[c](structure, styles)) for c in own)))))
-    own = [c for c in names if c in DOC_CHECKS and (structure["sections"] or c not in ("required-sections", "section-order"))]
-    if own:
-        found = [F.transform(F.array_compact(DOC_CHECKS[c](structure, styles)), named(c)) for c in own]
-        parts.append(issues(with_facts(corpus.docs, corpus.blocks, structure), F.concat(*found)))
-    if not parts:
-        return issues(corpus.docs.limit(0), F.array(tag(CHECKS[2], DOC_CHECKS["toc-present"](structure, styles)[0])))
-    return reduce(DataFrame.unionByName, parts)
+    by_block = [tag(c, BLOCK_CHECKS[c](structure, styles)) for c in names if c in BLOCK_CHECKS]
+    by_doc = [c for c in names if c in DOC_CHECKS and (structure["sections"] or c not in ("required-sections", "section-order"))]
+    of_doc = F.concat(*(F.transform(F.array_compact(DOC_CHECKS[c](structure, styles)), named(c)) for c in by_doc)) if by_doc else None
+    in_block = F.array_compact(F.array(*by_block)) if by_block else None
+    if not by_doc:
+        rows = corpus.docs.limit(0).withColumn("found", F.array(tag("toc-present", DOC_CHECKS["toc-present"](structure, styles)[0]))) if in_block is None else with_neighbours(corpus.blocks).select("doc_id", in_block.alias("found"))
+    else:
+        needed = heading_facts(structure) if set(by_doc) & NEED_HEADINGS else []
+        if in_block is not None:
+            blocks, needed = with_neighbours(corpus.blocks).withColumn("_issues", in_block), [F.flatten(F.collect_list(F.when(F.size("_issues") > 0, F.col("_issues")))).alias("_issues"), *needed]
+        else:
+            blocks = corpus.blocks.where(F.col("type") == "heading")
+        rows = corpus.docs.join(blocks.groupBy("doc_id").agg(*needed), "doc_id", "left") if needed else corpus.docs
+        rows = rows.select("doc_id", (F.concat(F.coalesce("_issues", F.array()), of_doc) if in_block is not None else of_doc).alias("found"))
+    i = rows.select("doc_id", F.explode("found").alias("i"))
+    return i.select("doc_id", "i.check_ord", "i.issue.item_ord", "i.check", "i.issue.message", "i.issue.block_index", "i.issue.text")
 
 
 def ordered(issues: DataFrame) -> DataFrame:
