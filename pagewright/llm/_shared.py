@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -31,10 +32,17 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; ValueError where none is set."""
+    """The folder of spark.checkpoint.dir, which all executors share.
+
+    Where none is set, a temporary one if driver and executors are one process, as in tests; a cluster must
+    name one (ValueError).
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
