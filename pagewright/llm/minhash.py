@@ -74,26 +74,35 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - m] + following[:m]
 
 
+def sortable(*numbers: np.ndarray) -> np.ndarray:
+    """Fixed-width strings that sort like the pairs of signed 64-bit numbers."""
+    flipped = np.stack([x.astype(np.int64).view(np.uint64) ^ np.uint64(2**63) for x in numbers], axis=1).astype(">u8")
+    # a byte that isn't zero comes last, as strings end before zeros
+    return np.concatenate([np.ascontiguousarray(flipped).view(np.uint8).reshape(len(flipped), 16), np.ones((len(flipped), 1), np.uint8)], axis=1).view("S17")[:, 0]
+
+
 def query(docs: DataFrame, permutations: int = PERMUTATIONS, width: int = WIDTH, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The next document of a row is the one with the next smaller doc_id; after the smallest comes the
-    largest. Equal doc_ids follow each other in order of their text; a null doc_id is the smallest. Null
-    text counts as empty, its fingerprint is all ones. A single row is its own next. No rows, no result.
-
-    Rows are dealt out by ranges of doc_id, each cut at a doc_id that occurs; the row at a cut also goes
-    to the range below the next cut as the next document of its last row. So texts are shuffled once, and
-    no window spans the table. Twenty doc_ids a range, picked by hash, reach the driver to choose the cuts.
+    largest. Equal doc_ids follow each other by falling 64-bit hash of their text; a null doc_id is the
+    smallest. Null text counts as empty, its fingerprint is all ones; very long texts are read whole.
+    Repeated rows are one document and get one result each. A single row is its own next. No rows, no result.
+
+    Rows are dealt out by ranges of doc_id and hash, each cut at a pair that occurs; the row at a cut also
+    goes to the range above it as the next document of its last row. So texts are shuffled once, no window
+    spans the table, and rows of one doc_id, or of none, fill many ranges. Twenty pairs a range, picked by
+    hash, reach the driver to choose the cuts.
     """
-    rows = keyed(docs).select("_id", "_t")
-    seen = rows.agg(F.count("*").alias("n"), F.max("_id").alias("high")).first()
+    rows = keyed(docs)
+    seen = rows.agg(F.count("*").alias("n"), F.max(F.struct("_id", "_h")).alias("high")).first()
     parts = min(MOST_RANGES, max(1, -(-seen.n // range_rows)))
-    ids = rows.select("_id")
+    ids = rows.select("_id", "_h")
     if seen.n > 20 * parts:
-        ids = ids.where(F.pmod(F.xxhash64("_id", F.lit(9)), F.lit(seen.n)) < 20 * parts)
-    picked = sorted(r[0] for r in ids.distinct().collect())
+        ids = ids.where(F.pmod(F.xxhash64("_id", "_h", F.lit(9)), F.lit(seen.n)) < 20 * parts)
+    picked = sorted(tuple(r) for r in ids.distinct().collect())
     step = 20 if seen.n > 20 * parts else range_rows
-    cuts = np.array(sorted({*picked[step - 1 :: step], *([seen.high] if seen.n else [])}), np.int64)
+    cuts = sorted({*picked[step - 1 :: step], *([tuple(seen.high)] if seen.n else [])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by range and falling doc_id; the range's last is the next document of its last row."""
@@ -101,34 +110,40 @@ def query(docs: DataFrame, permutations: int = PERMUTATIONS, width: int = WIDTH,
         cost = ("_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
         for b in batches:
             out = []
-            for place, lent, doc, text in zip(b["_range"].to_pylist(), b["_lent"].to_pylist(), b["_id"].to_pylist(), b["_t"].to_pylist(), strict=True):
+            for place, lent, doc, name, text in zip(*(b[c].to_pylist() for c in ("_range", "_lent", "_id", "_h", "_t")), strict=True):
                 if held and held[0] == place and held[1] is None:
-                    continue  # more rows with the doc_id of the cut
+                    continue  # more rows like that at the cut
+                if held and not lent and held[:3] == (place, doc, name):  # a repeated row
+                    held = (*held[:5], held[5] + 1)
+                    continue
                 sig = signature(shingles(text, width), permutations)
                 if held and held[0] == place:
-                    _, before, t, s = held
+                    _, before, _, t, s, times = held
                     new = edited(t, text)
                     e = s if new == t else signature(shingles(new, width), permutations)
-                    out.append((before, len(t), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), s.astype(">u2").tobytes().hex(), e.astype(">u2").tobytes().hex(), likeness(s, e), likeness(s, sig)))
-                held = (place, None if lent else doc, text, sig)
+                    out += times * [(before, len(t), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), s.astype(">u2").tobytes().hex(), e.astype(">u2").tobytes().hex(), likeness(s, e), likeness(s, sig))]
+                held = (place, None if lent else doc, name, text, sig, 1)
             columns = list(zip(*out, strict=True)) or [()] * len(cost)
             types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(cost))
 
     bounded_batches(docs.sparkSession)
     n = len(cuts)
+    whole = sortable(*np.array(cuts, np.int64).reshape(-1, 2).T)
 
     @F.pandas_udf("int")
-    def placed(x: pd.Series) -> pd.Series:
-        at = np.searchsorted(cuts, x.to_numpy())
-        return pd.Series((2 * at + (cuts[at] == x.to_numpy())).astype(np.int32))
+    def placed(doc: pd.Series, name: pd.Series) -> pd.Series:
+        mine = sortable(doc.to_numpy(), name.to_numpy())
+        at = np.searchsorted(whole, mine)
+        return pd.Series((2 * at + (whole[at] == mine)).astype(np.int32))
 
-    at = rows.withColumn("_place", placed("_id")).select("_id", "_t", F.shiftright("_place", 1).alias("_range"), (F.col("_place") % 2 == 1).alias("_top"))
+    row = [F.col(c) for c in ("_id", "_h", "_t")]
+    at = rows.withColumn("_place", placed("_id", "_h")).select(*row, F.shiftright("_place", 1).alias("_range"), (F.col("_place") % 2 == 1).alias("_top"))
     top = F.col("_top")
     both = F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("l")), F.struct(((F.col("_range") + 1) % max(1, n)).cast("int").alias("r"), F.lit(True).alias("l")))
     one = F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("l")))
-    spread = at.select("_id", "_t", F.explode(F.when(top, both).otherwise(one)).alias("x")).select(F.col("x.r").alias("_range"), F.col("x.l").alias("_lent"), "_id", "_t")
-    order = spread.repartition("_range").sortWithinPartitions("_range", "_lent", F.desc("_id"), "_t")
+    spread = at.select(*row, F.explode(F.when(top, both).otherwise(one)).alias("x")).select(F.col("x.r").alias("_range"), F.col("x.l").alias("_lent"), *row)
+    order = spread.repartition("_range").sortWithinPartitions("_range", "_lent", F.desc("_id"), F.desc("_h"))
     out = order.mapInArrow(run, "_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.select(doc_id(), *out.columns[1:])
 

@@ -146,6 +146,19 @@ def demux(data: bytes) -> Container:
     return out
 
 
+def ends_of(granules: list[int | None], durations: list[int]) -> list[int]:
+    """The clock at the end of each packet: a page's granule position is that of the last packet that ends on it.
+
+    For packets before it on the page the durations of those that follow are taken off.
+    """
+    out, clock = [0] * len(durations), 0
+    for i in range(len(durations) - 1, -1, -1):
+        clock = clock if granules[i] is None else granules[i]
+        out[i] = clock
+        clock -= durations[i]
+    return out
+
+
 def samples_of(data: bytes) -> tuple[bytes, dict[str, float]]:
     """The payload of a container and its clock; ValueError if anything does not hold."""
     c = demux(data)
@@ -156,19 +169,20 @@ def samples_of(data: bytes) -> tuple[bytes, dict[str, float]]:
     _, index_rate, total = struct.unpack("<8sIQ", index.packets[0])
     if (magic, channels, bits, index_rate) != (b"pw-pcm8\0", 1, 8, rate):
         raise ValueError("unknown stream")
-    at = 0
-    for p, entry in zip(s.packets[1:], index.packets[1:], strict=True):
-        if struct.unpack("<QII", entry) != (at, len(p), zlib.crc32(p)):
-            raise ValueError("index and samples differ")
-        at += len(p)
-    clock = [g for g in s.granules if g is not None]
-    if at != total or clock[-1] != total or clock != sorted(clock):
+    durations = [0, *map(len, s.packets[1:])]
+    ends = ends_of(s.granules, durations)
+    starts = [e - d for e, d in zip(ends, durations, strict=True)]
+    if starts != [0, *ends[:-1]] or ends[-1] != total or ends_of(index.granules, durations) != ends:
         raise ValueError("granule positions differ from the samples")
-    return b"".join(s.packets[1:]), {"rate": rate, "seconds": clock[-1] / rate, "packets": len(s.packets) - 1, "pages": sum(g is not None for g in s.granules)}
+    for start, p, entry in zip(starts[1:], s.packets[1:], index.packets[1:], strict=True):
+        if struct.unpack("<QII", entry) != (start, len(p), zlib.crc32(p)):
+            raise ValueError("index and samples differ")
+    pages = sum(g is not None for g in s.granules)
+    return b"".join(s.packets[1:]), {"rate": rate, "seconds": ends[-1] / rate, "packets": len(s.packets) - 1, "pages": pages, "last_start": starts[-1] / rate, "longest": max(durations) / rate}
 
 
 def features(payload: bytes, clock: dict[str, float]) -> str:
-    """Duration, packets, mean, deviation, crossings of the mean a second, and entropy of the samples."""
+    """Duration, packets, start of the last and length of the longest, mean, deviation, crossings of the mean a second, entropy of the samples."""
     x = np.frombuffer(payload, np.uint8)
     counts = np.bincount(x, minlength=256)
     p = counts[counts > 0] / len(x)
@@ -177,7 +191,8 @@ def features(payload: bytes, clock: dict[str, float]) -> str:
     spread = float(counts @ (values - mean) ** 2 / len(x)) ** 0.5
     above = x > mean
     cross = int(np.count_nonzero(above[1:] != above[:-1])) / clock["seconds"]
-    return f"seconds={clock['seconds']:.6f} packets={clock['packets']} mean={mean:.4f} deviation={spread:.4f} crossings={cross:.2f} entropy={abs(float(-(p * np.log2(p)).sum())):.5f}"
+    times = f"seconds={clock['seconds']:.6f} packets={clock['packets']} last_start={clock['last_start']:.6f} longest={clock['longest']:.6f}"
+    return f"{times} mean={mean:.4f} deviation={spread:.4f} crossings={cross:.2f} entropy={abs(float(-(p * np.log2(p)).sum())):.5f}"
 
 
 def pad(text: bytes, to: int = 192) -> bytes:
@@ -223,7 +238,8 @@ def query(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
     One row for each row of docs (columns doc_id, text), read back from the stored container. Null text
-    counts as empty: 192 blanks are stored. Repeated rows give equal rows; no rows, no result.
+    counts as empty: 192 blanks are stored. Repeated rows give equal rows, very long texts are stored whole;
+    no rows, no result.
     """
     out = decoded(encoded(docs))
     return out.select(doc_id(), *(c for c in out.columns if c != "_id"))

@@ -202,11 +202,12 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 def packed(pieces: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFrame:
     """pieces (any columns with length, _id and piece) with sequence_id and offset.
 
-    The number of groups follows the sum of lengths; pieces are dealt to groups by hash.
+    The number of groups follows the sum of lengths; rows of the written table are dealt to groups by their
+    number in it, so equal ids, or none, don't meet in one group.
     """
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, math.ceil(total / group))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("_id", "piece", F.lit(7)), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(7)), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
     def run(t: pa.Table) -> pa.Table:
@@ -223,8 +224,9 @@ def packed(pieces: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataF
 def query(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, group: int = GROUP) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs (doc_id, text).
 
-    Null text counts as empty and gives the end id alone. Repeated rows are packed once each. A null
-    doc_id stays null. An empty table gives an empty result.
+    Null text counts as empty and gives the end id alone; very long texts are cut, nothing is left out.
+    Repeated rows are packed once each. A null doc_id stays null. Of pieces of one length those with the
+    smaller doc_id and piece go first. An empty table gives an empty result.
     """
     pieces = written(token_pieces(docs, tokenizer or default_tokenizer(), capacity).repartition(files_for(docs.select("doc_id").count())))
     out = packed(pieces, capacity, group)

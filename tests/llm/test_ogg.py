@@ -58,3 +58,23 @@ def test_query_equals_direct_values(spark):
     assert ogg.query(docs.limit(0)).collect() == []
     bad = spark.createDataFrame([(1, 2, b"junk"), (2, 2, None)], "_id long, n_bytes long, media binary")
     assert [(r.payload_bytes, r.media_bytes) for r in ogg.decoded(bad).orderBy("_id").collect()] == [(None, 4), (None, None)]
+
+
+def test_timestamps_come_from_granule_positions():
+    assert ogg.ends_of([0, None, None, 30, 35], [0, 10, 10, 10, 5]) == [0, 10, 20, 30, 35]
+    payload = random.Random(5).randbytes(90_000)
+    data = ogg.mux(payload)
+    s = ogg.demux(data).streams[ogg.SAMPLES]
+    assert s.granules.count(None) >= 3  # several packets end on one page
+    assert ogg.ends_of(s.granules, [0, *map(len, s.packets[1:])]) == [0, *(min(90_000, 16_384 * (i + 1)) for i in range(6))]
+    clock = ogg.samples_of(data)[1]
+    assert (clock["last_start"], clock["longest"]) == (16_384 * 5 / ogg.RATE, 16_384 / ogg.RATE)
+    at = data.find(b"OggS", data.find(b"OggS", data.find(b"OggS", 1) + 1) + 1)
+    at = next(i for i in range(at, len(data)) if data[i : i + 4] == b"OggS" and int.from_bytes(data[i + 6 : i + 14], "little") not in (0, 2**64 - 1))
+    size = 27 + data[at + 26] + sum(data[at + 27 : at + 27 + data[at + 26]])
+    page = bytearray(data[at : at + size])
+    page[6:14] = (int.from_bytes(page[6:14], "little") + 7).to_bytes(8, "little")
+    page[22:26] = bytes(4)
+    page[22:26] = ogg.page_crc(bytes(page)).to_bytes(4, "little")
+    with pytest.raises(ValueError, match="granule"):
+        ogg.samples_of(data[:at] + bytes(page) + data[at + size :])
