@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import preview
+
 # The layout of a text report.
 TITLE, CLEAN, COUNT, PLACE, WHOLE = "%s: %s", "No structural issues found.", "%s issue(s) found.", "block %s", "document"
 
@@ -34,6 +36,15 @@ def json_reports(docs: DataFrame, issues: DataFrame, checks_run: list[str]) -> D
     return rows.select("doc_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("report"))
 
 
+def block_lines(blocks: DataFrame) -> DataFrame:
+    """doc_id, index, line: what a reader found, a line for each block."""
+    level = F.coalesce(F.concat(F.lit("L"), F.col("level").cast("string")), F.lit(""))
+    origin = F.when(F.col("real"), "real").when(~F.col("real"), "typed")
+    notes = F.concat_ws(", ", F.when(F.col("numbered"), "numbered"), "kind", origin, F.when(F.col("inline"), "in text"))
+    line = F.format_string("%5d  %-9s  %-3s  %s%s", "index", "type", level, preview(F.coalesce("text", F.lit(""))), F.when(notes == "", "").otherwise(F.concat(F.lit("  ("), notes, F.lit(")"))))
+    return blocks.select("doc_id", "index", F.rtrim(line).alias("line"))
+
+
 def indented(report: str) -> str:
     return json.dumps(json.loads(report), indent=2, ensure_ascii=False)
 

@@ -261,3 +261,21 @@ def test_study_rows_are_appended(spark, tmp_path):
     assert out.columns == study.columns() and out.count() == 2
     r = out.first()
     assert (r["Time"], r["Participant ID"], r["File name"], r["Pragmatic Quality (1-7)"], r["Hedonic Quality (1-7)"]) == ("2020-01-02 03:04 UTC", "P1", "a.docx", "2.5", "4.75")
+
+
+def test_block_dump_and_example_files(spark, tmp_path, capsys):
+    from pathlib import Path
+
+    from pagewright.config import load_structure, load_styles
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "main.tex").write_text(r"\documentclass{article}\begin{document}\section{Other}\end{document}")
+    (tmp_path / "main.tex").write_text(r"\documentclass{article}\begin{document}\section{Mine}\begin{figure}\includegraphics{x}\caption{View}\end{figure}- typed\end{document}")
+    assert cli.main([str(tmp_path / "main.tex"), "--blocks"], spark) == 0
+    assert [x.split() for x in capsys.readouterr().out.splitlines()] == [["0", "heading", "L1", "Mine", "(numbered)"], ["1", "figure"], ["2", "caption", "View", "(figure,", "real)"], ["3", "list_item", "-", "typed", "(typed)"]]
+    there = Path(__file__).parent.parent / "examples"
+    styles = load_styles(str(there / "styles.json"))
+    assert styles["checks"] == {"inline-image": False} and compile_patterns(styles).kinds["fig"] == "figure" and compile_patterns(styles).is_list_item("H2: x")
+    assert [len(load_structure(str(there / n))["sections"]) for n in ("structure.json", "no_sections.json")] == [4, 0]
+    args = [str(tmp_path / "main.tex"), "--json", "--structure", str(there / "structure.json"), "--styles", str(there / "styles.json")]
+    assert cli.main(args, spark) == 1 and "Conclusion" in capsys.readouterr().out
