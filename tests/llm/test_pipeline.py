@@ -64,3 +64,31 @@ def test_run_equals_the_stages(spark, tmp_path):
 def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_on_odd_rows(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choices(PARTS["en"], k=r.randint(1, 4)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    plain, long, other = [text(80) for _ in range(30)], text(30_000), text(90)
+    rows = [(i, t, "en", "src1") for i, t in enumerate(plain)] + [(100, long, "en", "src0"), (101, f"{long} {text(40)}", None, None)]
+    rows += [(None, text(70), None, "src2"), (None, text(75), "en", None), (None, plain[3], "en", "src2"), (None, other, None, None), (None, other, None, None)]
+    rows += [(7, plain[7], "en", "src1"), (7, text(60), "en", "src1"), (200, None, "en", "src1"), (201, "", None, None), (202, " \n", "en", "src1"), (203, "1 2 3", "en", "src1")]
+    rows = [(d, t, x, s, None if t is None else len(t), i, "x") for i, (d, t, x, s) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", _id int, c string").repartition(4)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "")
+        assert out.schema == docs.schema
+        kept[name] = out.collect()
+        assert len({x._id for x in kept[name]}) == len(kept[name])
+        docs = spark.createDataFrame(kept[name], docs.schema).repartition(3)
+    language, near, passages, mix = kept.values()
+    gone = {x[5] for x in rows} - {x._id for x in language}
+    assert {rows[i][0] for i in gone} <= {200, 201, 202, 203} and 200 not in {x.doc_id for x in language}
+    # of equal texts one row stays, of the two long ones the first; rows without ids sort first
+    texts = [x.text for x in near]
+    assert len(set(texts)) == len(texts) and set(texts) == {x.text for x in language} - {rows[31][1]}
+    assert [x.doc_id for x in near if x.text in (plain[3], plain[7], other, long)].count(None) == 2
+    assert {x.text for x in passages} == set(texts) and {x._id for x in mix} <= {x._id for x in passages}
+    assert len(corpus_pipeline.STAGES[4][1](spark, docs, "").collect()) >= len(mix)
