@@ -155,7 +155,7 @@ def doc_id(column: str = "_id") -> Column:
 
 
 def complete_groups(batches: Iterator[pa.RecordBatch], key: str, limit: int, least: int = 20_000) -> Iterator[tuple[pa.Table, bool]]:
-    """Tables of whole groups from batches sorted by key, of about least rows each.
+    """Tables of whole groups from batches sorted by key, of about least rows each (or one larger group).
 
     A group of over limit rows comes in pieces, each with True beside it: no more than limit rows plus
     a batch are ever held, and the caller passes such rows on to a finer key.
@@ -183,27 +183,33 @@ def complete_groups(batches: Iterator[pa.RecordBatch], key: str, limit: int, lea
         k = t[key].to_numpy()
         cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
         if cut:
-            yield from _split_large(t.slice(0, cut), k[:cut], limit)
+            yield from _split_large(t.slice(0, cut), k[:cut], limit, least)
         held, rows = [t.slice(cut)], len(k) - cut
         if rows > limit:
             yield held[0], True
             held, rows, over = [], 0, k[-1]
     if rows:
         t = pa.concat_tables(held).combine_chunks()
-        yield from _split_large(t, t[key].to_numpy(), limit)
+        yield from _split_large(t, t[key].to_numpy(), limit, least)
 
 
-def _split_large(t: pa.Table, k: np.ndarray, limit: int) -> Iterator[tuple[pa.Table, bool]]:
+def _split_large(t: pa.Table, k: np.ndarray, limit: int, least: int) -> Iterator[tuple[pa.Table, bool]]:
     start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     size = np.diff(np.r_[start, len(k)])
+
+    def pieces(a: int, z: int) -> Iterator[tuple[pa.Table, bool]]:
+        while a < z:
+            i = int(np.searchsorted(start, a + least))
+            end = min(z, int(start[i])) if i < len(start) else z
+            yield t.slice(a, end - a), False
+            a = end
+
     at = 0
-    for s, n in zip(start[size > limit], size[size > limit], strict=True):
-        if s > at:
-            yield t.slice(at, s - at), False
+    for s, n in zip(start[size > limit].tolist(), size[size > limit].tolist(), strict=True):
+        yield from pieces(at, s)
         yield t.slice(s, n), True
         at = s + n
-    if at < len(k):
-        yield t.slice(at), False
+    yield from pieces(at, len(k))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -355,7 +355,7 @@ def near_classes(
     member = classes.join(groups, F.col("c") == F.col("node")).select("c", "_id", "_h", "sig", "w", F.col("component").alias("g"))
     large = groups.join(classes.select("c", "w"), F.col("c") == F.col("node")).groupBy("component").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
     large = written(large.where((F.col("n") > rows) | (F.col("w") > shingles)).select(F.col("component").alias("g")), size // rows)
-    sets = lambda some: some.select("c", "_id", "_h").join(texts, ["_id", "_h"]).select("c", F.col("_t").alias("x"))
+    sets = lambda some: some.select("c", "_id", "_h").join(texts, ["_id", "_h"]).select("c", F.col("_t").alias("x")).mapInArrow(once, "c long, x string")
     if large.isEmpty():
         small, more = member, None
     else:

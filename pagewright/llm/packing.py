@@ -46,6 +46,8 @@ MARKED = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 #: Byte-level alphabet: bytes that don't print stand as 256 and on, in order.
 _PRINTS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTS)))}
+#: The small Latin-1 letters as the model sees their UTF-8 bytes.
+LETTER_BYTES = {c: chr(c).encode().decode("latin-1").translate(BYTE_CHARS) for c in range(0xDF, 0x100)}
 
 
 def default_tokenizer() -> str:
@@ -73,11 +75,11 @@ class ChunkTokenizer:
         self.ids = Remembered(self._learn, remembered)
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
-        found, model, odd, marked = {}, self.tokenizer.model, [], []
+        found, tokenize, odd, marked = {}, self.tokenizer.model.tokenize, [], []
         packed = lambda ids: array("I", ids).tobytes()
-        word = lambda c: packed([t.id for t in model.tokenize(c.encode().decode("latin-1").translate(BYTE_CHARS))])
+        word = lambda c: packed([t.id for t in tokenize(c if c.isascii() else c.translate(LETTER_BYTES))])
         for c in chunks:
-            if WORD.fullmatch(c):  # one lower-case word: only the model has something to do
+            if c.isascii() and c.isalpha() and c.islower() or WORD.fullmatch(c):  # only the model has something to do
                 found[c] = word(c)
             elif m := MARKED.fullmatch(c):
                 marked.append(m.groups())

@@ -100,6 +100,13 @@ def features(word: bytes) -> tuple[int, int, int]:
     return xxh32_intdigest(b"w" + word.lower(), 3) & last, xxh32_intdigest(b"s" + shape, 3) & last, xxh32_intdigest(b"e" + word[-3:].lower(), 3) & last
 
 
+def again() -> tuple[int, int, int]:
+    """The places of a word that repeats the one before it."""
+    from xxhash import xxh32_intdigest
+
+    return (xxh32_intdigest(b"again", 3) & (2**BITS - 1),) * 3
+
+
 SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 
 
@@ -122,16 +129,20 @@ def train(rows: list[tuple[bytes, float]], passes: int = 8, rate: float = 0.5) -
 
 
 class Scorer:
-    """Scores of texts by the mean weight of their words, which are remembered."""
+    """Scores of texts by the mean weight of their words, which are remembered; a word said again has its own."""
 
     def __init__(self, weights: np.ndarray, bias: float, remembered: int = REMEMBERED) -> None:
-        self.bias = bias
+        self.bias, self.again = bias, float(weights[list(again())].sum())
         self.weight = Remembered(lambda words: weights[np.array([features(w.encode()) for w in words], np.int64).reshape(-1, 3)].sum(axis=1).tolist(), remembered)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         names, at, begin = coded_words(texts)
         n = text_sums(np.array([bool(x) for x in names], np.int64)[at], begin)
-        z = text_sums((np.array(self.weight(names)) * np.array([bool(x) for x in names]))[at], begin) / np.maximum(n, 1) + self.bias
+        weight = (np.array(self.weight(names)) * np.array([bool(x) for x in names]))[at]
+        said = np.r_[False, at[1:] == at[:-1]][: len(at)]
+        said[begin[:-1][begin[:-1] < len(at)]] = False
+        weight[said] = self.again
+        z = text_sums(weight, begin) / np.maximum(n, 1) + self.bias
         return np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
 
@@ -158,15 +169,15 @@ def query(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
     posterior, _ = estimate({tuple(map(int, r.pattern.split())): r.n for r in counts})
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Remembered(lambda words: map(features, words), REMEMBERED)
+        places, once_more = Remembered(lambda words: map(features, words), REMEMBERED), again()
         for b in batches:
             out = []
             for text in b["_t"].cast(pa.binary()).to_pylist():
                 words = text.split()
-                words = words[:: -(-len(words) // TRAINING_WORDS) or 1]
                 different = [*dict.fromkeys(words)]
                 found = dict(zip(different, places(different), strict=True))
-                out.append((np.array([found[x] for x in words], np.int32).tobytes(), posterior.get(votes(text), 0.5)))
+                each = [once_more if x == y else found[x] for x, y in zip(words, [None, *words], strict=False)]
+                out.append((np.array(each[:: -(-len(words) // TRAINING_WORDS) or 1], np.int32).tobytes(), posterior.get(votes(text), 0.5)))
             f, p = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array(p, pa.float64())], names=["f", "p"])
 
