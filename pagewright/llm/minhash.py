@@ -2,7 +2,8 @@
 
 A text's shingles are runs of five words. K universal hash functions (multiply and add) permute the
 shingle hashes; a signature keeps 16 bits of each function's minimum. The share of equal places in two
-signatures estimates the Jaccard similarity of the shingle sets.
+signatures estimates the Jaccard similarity of the shingle sets. Texts whose signatures agree in a band are
+candidates: links of candidates make groups, and the pairs of a group are verified on whole texts.
 """
 
 from __future__ import annotations
@@ -299,10 +300,18 @@ def dealt_links(classes: DataFrame, sets: DataFrame, read: Callable[[str], np.nd
 
 
 def near_classes(
-    docs: DataFrame, hashes: Callable[[str], np.ndarray], threshold: float = 0.8, bands: int = 25, permutations: int = PERMUTATIONS,
-    mark: Callable[[np.ndarray], int] | None = None, proposed: Callable[[DataFrame, int], DataFrame] | None = None, with_rows: bool = False,
-    most: int = 64, rows: int = PART_ROWS, shingles: int = PART_SHINGLES,
-) -> tuple[DataFrame, DataFrame]:
+    docs: DataFrame,
+    hashes: Callable[[str], np.ndarray],
+    threshold: float = 0.8,
+    bands: int = 25,
+    permutations: int = PERMUTATIONS,
+    mark: Callable[[np.ndarray], int] | None = None,
+    proposed: Callable[[DataFrame, int], DataFrame] | None = None,
+    with_rows: bool = False,
+    most: int = 64,
+    rows: int = PART_ROWS,
+    shingles: int = PART_SHINGLES,
+) -> tuple[DataFrame, DataFrame]:
     """Classes with their part (c, _id, _h, part), and rows with their class (_id, _h, c; written if with_rows).
 
     A class is the rows whose texts have one set of hashes; _id and _h are those of its first row. A part is
@@ -311,7 +320,7 @@ def near_classes(
     fp). What candidates connect is one group, each class once; groups of more than `rows` classes or
     `shingles` are dealt out by their buckets (dealt_links). All pairs of a group, or of a bucket, that are
     alike by threshold - GATE are verified on whole texts.
-    """
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

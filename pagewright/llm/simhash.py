@@ -109,8 +109,9 @@ def covering_links(prints: DataFrame, size: int, radius: int = 3, bucket: int =
 
     A table's buckets are streamed in key order. In a bucket each print is linked to the first that
     reaches it, so copies of a kind give a tree and not all their pairs. A bucket of more than `bucket`
-    prints moves to the next level: covering tables anew inside it. What still is larger after LEVELS is
-    dealt out in blocks, each pair of blocks a task of its own. Nothing is dropped on the way.
+    prints moves to the next level: covering tables anew inside it. After LEVELS the prints of a bucket can
+    differ in 13 bits at most, so BUCKET prints always suffice; for a smaller `bucket` what still is larger
+    is dealt out in blocks, each pair of blocks a task of its own. Nothing is dropped on the way.
     """
     schema = "k long, a long, b long"
 

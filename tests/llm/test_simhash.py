@@ -64,6 +64,12 @@ def test_every_pair_within_radius_meets_in_a_table():
             assert any(not m & diff for m in masks)
 
 
+def test_a_refined_bucket_is_bounded():
+    masks = [simhash.cover(3, turn) for turn in range(simhash.LEVELS)]
+    free = max((2**64 - 1 & ~(a | b | c)).bit_count() for a in masks[0] for b in masks[1] for c in masks[2])
+    assert simhash.LEVELS == 3 and 2**free <= simhash.BUCKET
+
+
 def test_edge_cases(spark):
     rows = [(None, "a b c"), (5, "a b c"), (5, "a b c"), (None, None)]
     docs = spark.createDataFrame([(d, t, "x", None, 1, 7) for d, t in rows], SCHEMA + ", _id long")
