@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, complete_groups, mix
+from ._shared import bounded_batches, complete_groups, mix, release
 
 #: Samples that a task holds before it combines them and sends them on.
 FLUSH = 2_000_000
@@ -94,6 +94,7 @@ def repeated_places(docs: DataFrame, sample: Callable[[bytes], tuple[np.ndarray,
         })
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held = Held(3)
         for b in batches:
             for doc, text_hash, text in zip(b["_id"].to_pylist(), b["_h"].to_pylist(), b["_t"].cast(pa.binary()).to_pylist(), strict=True):

@@ -82,6 +82,13 @@ def process_wide(key: str, make: Callable[[], object]):
     return kept[1]
 
 
+def release() -> None:
+    """Drops what process_wide keeps, at the start of tasks that need the memory for something else."""
+    import builtins
+
+    builtins.__dict__.pop("_pagewright_kept", None)
+
+
 class Remembered:
     """Values by name, made for all new names of a call at once.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._samples import ngram_hashes
-from ._shared import bounded_batches, complete_groups, connected_components, doc_id, keyed, mix, written
+from ._shared import bounded_batches, complete_groups, connected_components, doc_id, keyed, mix, release, written
 
 PERMUTATIONS = 128
 WIDTH = 5
@@ -323,6 +323,7 @@ def near_classes(
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             prints, names, sigs, sizes = [], [], [], []
             for text in b["_t"].to_pylist():
