@@ -26,7 +26,7 @@ from ._shared import Remembered, bounded_batches, coded_words, doc_id, files_for
 #: Tokens packed in one group.
 GROUP = 8_000_000
 #: Chunks of text, of about 200 bytes each, that a Python worker remembers in either of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 
 # The tokenizer file's parts that chunks rely on, and its bytes' alphabet.
 SHAPE = {
