@@ -131,6 +131,17 @@ def text_sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
+def dealt_out(rows: DataFrame) -> DataFrame:
+    """rows, on as many cores as there are: a scan of fewer row groups is dealt out before costly Python.
+
+    Scans of more partitions than cores, and rows that were shuffled anyhow, stay as they are.
+    """
+    plan, cores = rows._jdf.queryExecution().executedPlan(), rows.sparkSession.sparkContext.defaultParallelism
+    if plan.nodeName() == "AdaptiveSparkPlan" or plan.execute().getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
+
+
 def keyed(docs: DataFrame, text: bool = True) -> DataFrame:
     """Columns _id (doc_id as long, null: NULL_ID), _h (64-bit hash of the text) and _t (text, null: empty).
 
@@ -138,7 +149,7 @@ def keyed(docs: DataFrame, text: bool = True) -> DataFrame:
     text are one document to every operator: each of them gets the same result.
     """
     t = F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_t")
-    return docs.select(*row_key(docs), t) if text else docs.select(*row_key(docs))
+    return dealt_out(docs.select(*row_key(docs), t)) if text else docs.select(*row_key(docs))
 
 
 def row_key(docs: DataFrame) -> tuple[Column, Column]:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import Remembered, bounded_batches, coded_words, doc_id, keyed, process_wide, text_sums
+from ._shared import Remembered, bounded_batches, coded_words, dealt_out, doc_id, keyed, process_wide, text_sums
 
 #: About so many labelled rows of each language are learned from, picked by hash.
 ROWS_PER_LANGUAGE = 1500
@@ -128,7 +128,7 @@ def learn(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, features: int = FEATUR
     Of each language about `rows` rows are read whole, those with the smallest hash of doc_id; the counts
     of words and n-grams are summed in Spark, and the `features` largest of each language reach the driver.
     """
-    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
+    usable = dealt_out(docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang"))
     sizes = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(rows) / F.count("*")).alias("share"))
     sizes = F.broadcast(sizes) if sizes.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES else sizes
     sample = usable.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2**31)) < F.col("share") * 2**31).select("text", "lang")
