@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Stands for a null doc_id, so such a row sorts before all others and joins with itself.
@@ -268,31 +268,31 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
 
     nodes: about how many there are, if known, so that links are written in files of a good size.
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the links no longer change.
-    A step is joins and minima that Spark combines before the shuffle; links are written to the shared
-    folder after each round, and only a count and a checksum reach the driver. The links of a hub aren't
-    shuffled to it: the minima of hubs, of which there are 20,000 at most, are broadcast. Links to null or
-    to the node itself are ignored; without links the result is empty.
+    Links are written to the shared folder after each round, and only a count and a checksum reach the
+    driver. A step finds each node's smallest neighbour: by a window over its links, or, where there are
+    more than HUB links and so a node may have as many, by minima that Spark combines before the shuffle
+    and joins; hubs' links then stay where they are, and the minima of hubs, 20,000 at most, are broadcast.
+    Links to null or to the node itself are ignored; without links the result is empty.
     """
     u, v = F.col("u"), F.col("v")
     state = F.expr("count(1) as n"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0L) as x")
 
-    def with_minimum(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
-        hub = max(HUB, total // 10_000)
-        if total <= hub:
-            return rows.join(low, "u")
-        hubs = low.where(F.col("n") > hub)
-        few = rows.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(low.where(F.col("n") <= hub), "u")
+    def with_minimum(rows: DataFrame, total: int) -> DataFrame:
+        """rows with m, the smallest v of their u."""
+        if total <= HUB:
+            return rows.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        low, hub = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), max(HUB, total // 10_000)
+        hubs = low.where(F.col("n") > hub).drop("n")
+        few = rows.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(low.where(F.col("n") <= hub).drop("n"), "u")
         return few.unionByName(rows.join(F.broadcast(hubs), "u"))
 
     now = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where((u != v) & F.col(a).isNotNull() & F.col(b).isNotNull()).distinct(), nodes)
     seen = now.agg(*state).first()
     for _ in range(rounds if seen.n else 0):
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = with_minimum(both, low, 2 * seen.n).where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = with_minimum(large, low, 2 * seen.n).where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
-        old, now = now, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), 2 * seen.n)
+        large = with_minimum(both, 2 * seen.n).where(v > u).select(v.alias("u"), F.least("u", "m").alias("v"))
+        small = with_minimum(large, 2 * seen.n).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(v.alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        old, now = now, written(small.where(u != v).distinct(), 2 * seen.n)
         remove(links.sparkSession, old.written_to)
         last, seen = seen, now.agg(*state).first()
         if last == seen:
