@@ -18,6 +18,7 @@ from ..config import STYLES
 from ..functions.patterns import compile_patterns
 from ..sources import corpus_of, extracted
 from ..sources.conversations import conversation_blocks
+from ..sources.dealing import dealt_out
 from ..sources.html import html_corpus
 from . import run, study
 
@@ -43,7 +44,7 @@ def _lines(spark: SparkSession, sf_dir: str, drop: str | None = None) -> DataFra
     """doc_id and lines: whole texts line by line, white space collapsed, without what drop matches."""
     line = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, drop, "") if drop else x, BLANKS, " "))
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), lambda x: x != "")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", lines.alias("lines"))
+    return dealt_out(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", lines.alias("lines")))
 
 
 def _body(forms: list[str], escape: bool) -> Column:
